@@ -20,7 +20,7 @@ FILTER_LABEL = "PushedFilters: ["
 
 # Entries whose brackets are balanced and nest at most three deep are split by one regular expression.
 _FLAT = r"[^()\[\]]++"
-_DEPTH_1 = rf"(?:{_FLAT}|\({_FLAT}*\)|\[{_FLAT}*\])"
+_DEPTH_1 = rf"(?:{_FLAT}|\((?:{_FLAT})?\)|\[(?:{_FLAT})?\])"
 _DEPTH_2 = rf"(?:{_FLAT}|\({_DEPTH_1}*\)|\[{_DEPTH_1}*\])"
 _DEPTH_3 = rf"(?:{_FLAT}|\({_DEPTH_2}*\)|\[{_DEPTH_2}*\])"
 _SIMPLE_LIST = rf"^({_DEPTH_3}*)\]"

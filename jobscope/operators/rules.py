@@ -243,7 +243,8 @@ SUBJECT = {
 def apply_rule(rule: Rule, table: DataFrame) -> DataFrame:
     """Rows on which one rule fires, evidence as typed columns."""
     subject = SUBJECT[rule.source][0]
-    keys = ["log_id"] + ([subject] if subject not in rule.evidence else [])
+    named = {"stage_id": "stageId", "execution_id": "sqlExecutionId", "job_id": "jobId"}[subject] in rule.evidence
+    keys = ["log_id"] if named else ["log_id", subject]
     return table.where(rule.when).select(
         *keys, rule.severity.alias("severity"), *[v.alias(k) for k, v in rule.evidence.items()])
 

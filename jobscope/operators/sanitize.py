@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from jobscope.sources.events import APP_START
 
@@ -47,7 +48,7 @@ CELLAR = "/opt/scrubbed-packages"
 APP = "local-scrubbed"
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _private_v6(candidates: pd.Series) -> pd.Series:
     """Of a few candidate strings, those that are private, non-loopback addresses."""
 

@@ -58,17 +58,19 @@ def subtree_fingerprints(plans: DataFrame) -> DataFrame:
     return tokenise(plans).select(*EXECUTION, F.inline(text))
 
 
-def subtree_members(plans: DataFrame) -> DataFrame:
-    """For every node, how many nodes its subtree holds and how deep it goes."""
-    return plans.select(*EXECUTION, F.inline("nodes")).select(
-        *EXECUTION, "ord", "depth", "subtree_size", "subtree_depth")
-
-
 def _names(members: Column) -> Column:
     named = F.filter(F.transform(members, lambda m: m["node_name"]), lambda n: n.rlike(r"\S"))
     return F.array_sort(F.array_distinct(named))
 
 
+def subtree_members(plans: DataFrame) -> DataFrame:
+    """For every node: size and depth of its subtree and the operators in it."""
+    rows = F.transform("nodes", lambda n: F.struct(
+        n["ord"].alias("ord"), n["subtree_size"].alias("subtree_size"), n["subtree_depth"].alias("subtree_depth"),
+        _names(_members(F.col("nodes"), n)).alias("operators")))
+    return plans.select(*EXECUTION, F.inline(rows))
+
+
 def is_interesting(name: Column) -> Column:
     match = name.contains(INTERESTING[0])
     for marker in INTERESTING[1:]:

@@ -303,3 +303,16 @@ def loose_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         "when 3 then concat('{\"v\":', q, '.9}') when 4 then concat('{\"v\":\"', q, '.9\"}') "
         "when 5 then '{\"v\":\"abc\"}' when 6 then '{\"v\":null}' else '{}' end")
     return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "q", value.alias("value"))
+
+
+# Document text followed by the kinds of personal and machine data found in event logs.
+SCRUB_LINES = {
+    "doc_id": "doc_id",
+    "value": "concat(text, ' /home/u', doc_id, '/jars,/Users/u', doc_id, '/conf \"User\":\"u', doc_id, '\" 10.', doc_id % 256, "
+             "'.0.7 192.168.1.', doc_id % 300, ' 172.16.0.9 8.8.', doc_id % 256, '.8 local-', doc_id, "
+             "' /opt/homebrew/Cellar/spark fd00::', doc_id % 10000, ' x::date end')",
+}
+
+
+def scrub_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _project(_table(spark, sf_dir, "documents"), SCRUB_LINES)
