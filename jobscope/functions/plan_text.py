@@ -17,6 +17,8 @@ REWRITES = (
     (r"\s+\)", ")"),
 )
 FILTER_LABEL = "PushedFilters: ["
+# Text without any of these characters is not touched by a rewrite.
+_TOUCHED = r"[#\[(),0-9\x00-\x20]"
 
 # Entries whose brackets are balanced and nest at most three deep are split by one regular expression.
 _FLAT = r"[^()\[\]]++"
@@ -92,4 +94,8 @@ def normalize_plan_text(text: Column) -> Column:
     for pattern, replacement in REWRITES:
         value = F.regexp_replace(value, pattern, replacement)
     value = F.regexp_replace(_trim(value), r"\s+", " ")
-    return F.when(F.coalesce(text.rlike(r"\S"), F.lit(False)), value).otherwise(F.lit(""))
+    return (
+        F.when(~F.coalesce(text.rlike(r"\S"), F.lit(False)), F.lit(""))
+        .when(~text.rlike(_TOUCHED), text)
+        .otherwise(value)
+    )

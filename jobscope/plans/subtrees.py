@@ -17,58 +17,63 @@ from jobscope.operators.sqlexec import EXECUTION
 INTERESTING = ("Exchange", "Join", "Aggregate", "Sort", "Scan")
 
 
-def _members(nodes: Column, root: Column) -> Column:
-    return F.slice(nodes, root["ord"] + 1, root["subtree_size"])
+def prepare(plans: DataFrame) -> DataFrame:
+    """Per plan, arrays aligned with its nodes, computed once per node.
 
-
-def subtree_text(nodes: Column, root: Column) -> Column:
-    """``name|text|[child,child]`` of the subtree under ``root``; the order of children matters.
-
-    Between two neighbouring nodes, as many brackets close as the depth drops.
+    ``tokens`` holds the normalised text that opens each node, ``opened`` the
+    same behind the brackets that close since the node before it.
     """
-    members = _members(nodes, root)
+    token = lambda n: F.concat(
+        normalize_plan_text(n["node_name"]), F.lit("|"), normalize_plan_text(n["simple_string"]), F.lit("|["))
+    named = lambda n: F.when(n.rlike(r"\S"), n)
 
-    def opened(node: Column, i: Column) -> Column:
-        drop = F.get(members, i - 1)["depth"] - node["depth"]
-        lead = F.when((i == 0) | (drop < 0), F.lit("")).otherwise(
+    def lead(depth: Column, i: Column) -> Column:
+        drop = F.get("depths", i - 1) - depth
+        return F.when((i == 0) | (drop < 0), F.lit("")).otherwise(
             F.concat(F.repeat(F.lit("]"), F.greatest(drop + 1, F.lit(0))), F.lit(",")))
-        return F.concat(lead, node["token"])
 
-    last = F.element_at(members, -1)["depth"]
-    return F.concat(F.array_join(F.transform(members, opened), ""),
-                    F.repeat(F.lit("]"), last - root["depth"] + 1))
+    staged = plans.select(
+        *EXECUTION, F.transform("nodes", token).alias("tokens"),
+        F.transform(F.col("nodes.node_name"), named).alias("names"), F.col("nodes.node_name").alias("raw_names"),
+        F.col("nodes.depth").alias("depths"), F.col("nodes.subtree_size").alias("sizes"),
+        F.col("nodes.subtree_depth").alias("heights"))
+    return staged.withColumn("opened", F.zip_with(F.transform("depths", lead), "tokens", lambda a, b: F.concat(a, b)))
 
 
-def tokenise(plans: DataFrame) -> DataFrame:
-    """Replace the raw text of each node by its normalised token; done once per node."""
-    token = lambda n: F.concat(
-        normalize_plan_text(n["node_name"]), F.lit("|"), normalize_plan_text(n["simple_string"]), F.lit("|["))
-    return plans.select(
-        *EXECUTION,
-        F.transform("nodes", lambda n: F.struct(
-            n["ord"].alias("ord"), n["depth"].alias("depth"), n["subtree_size"].alias("subtree_size"),
-            n["subtree_depth"].alias("subtree_depth"), n["node_name"].alias("node_name"),
-            token(n).alias("token"))).alias("nodes"))
+def _per_node(plans: DataFrame, *fields: Column) -> DataFrame:
+    """One row per node; ``fields`` may use the aligned arrays, ``ord`` and ``subtree_size``."""
+    placed = F.posexplode("sizes").alias("ord", "subtree_size")
+    return prepare(plans).select("*", placed).select(*EXECUTION, "ord", *fields)
 
 
-def subtree_fingerprints(plans: DataFrame) -> DataFrame:
-    """The exact text fingerprint of every subtree."""
-    text = F.transform("nodes", lambda n: F.struct(
-        n["ord"].alias("ord"), subtree_text(F.col("nodes"), n).alias("fingerprint")))
-    return tokenise(plans).select(*EXECUTION, F.inline(text))
+def subtree_text() -> Column:
+    """``name|text|[child,child]`` of the subtree under a node; the order of children matters.
+
+    A slice of the plan's own text: the first token without its lead, then all
+    that follows inside the subtree, then the brackets still open.
+    """
+    last = F.get("depths", F.col("ord") + F.col("subtree_size") - 1)
+    return F.concat(
+        F.get("tokens", F.col("ord")),
+        F.array_join(F.slice("opened", F.col("ord") + 2, F.col("subtree_size") - 1), ""),
+        F.repeat(F.lit("]"), last - F.get("depths", F.col("ord")) + 1))
+
 
+def subtree_operators() -> Column:
+    """Distinct operator names of the subtree under a node, in text order."""
+    return F.sort_array(F.array_distinct(F.array_compact(
+        F.slice("names", F.col("ord") + 1, F.col("subtree_size")))))
 
-def _names(members: Column) -> Column:
-    named = F.filter(F.transform(members, lambda m: m["node_name"]), lambda n: n.rlike(r"\S"))
-    return F.array_sort(F.array_distinct(named))
+
+def subtree_fingerprints(plans: DataFrame) -> DataFrame:
+    """The exact text fingerprint of every subtree."""
+    return _per_node(plans, subtree_text().alias("fingerprint"))
 
 
 def subtree_members(plans: DataFrame) -> DataFrame:
     """For every node: size and depth of its subtree and the operators in it."""
-    rows = F.transform("nodes", lambda n: F.struct(
-        n["ord"].alias("ord"), n["subtree_size"].alias("subtree_size"), n["subtree_depth"].alias("subtree_depth"),
-        _names(_members(F.col("nodes"), n)).alias("operators")))
-    return plans.select(*EXECUTION, F.inline(rows))
+    return _per_node(plans, F.col("subtree_size"), F.get("heights", F.col("ord")).alias("subtree_depth"),
+                     subtree_operators().alias("operators"))
 
 
 def is_interesting(name: Column) -> Column:
@@ -85,16 +90,14 @@ def duplicate_subtrees(plans: DataFrame) -> DataFrame:
     exchanged.  The rows of a plan sit in one task already and are combined
     there before the shuffle.
     """
-    rows = F.transform("nodes", lambda n: F.struct(
-        F.sha2(subtree_text(F.col("nodes"), n), 256).alias("fingerprint"),
-        n["ord"].alias("ord"), n["node_name"].alias("node_name"), n["subtree_size"].alias("subtree_size"),
-        n["subtree_depth"].alias("subtree_depth"), _names(_members(F.col("nodes"), n)).alias("operators")))
+    rows = _per_node(
+        plans, F.sha2(subtree_text(), 256).alias("fingerprint"),
+        F.struct(F.coalesce(F.get("raw_names", F.col("ord")), F.lit("")).alias("root"), "subtree_size",
+                 F.get("heights", F.col("ord")).alias("subtree_depth"), subtree_operators().alias("operators"),
+                 F.col("ord").alias("first_ord")).alias("body"))
     return (
-        tokenise(plans).select(*EXECUTION, F.inline(rows))
-        .groupBy(*EXECUTION, "fingerprint")
-        .agg(F.count(F.lit(1)).alias("count"),
-             F.min_by(F.struct(F.coalesce("node_name", F.lit("")).alias("root"), "subtree_size", "subtree_depth",
-                               "operators", F.col("ord").alias("first_ord")), "ord").alias("r"))
+        rows.groupBy(*EXECUTION, "fingerprint")
+        .agg(F.count(F.lit(1)).alias("count"), F.min_by("body", "ord").alias("r"))
         .where(F.col("count") >= 2)
         .select(*EXECUTION, "fingerprint", "count", "r.*")
         .withColumn("interesting", F.filter("operators", is_interesting))

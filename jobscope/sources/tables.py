@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from jobscope.ordering import make_seq
 from jobscope.plans.flatten import NODE_TYPE
+from jobscope.session import spread
 from jobscope.sources import events as ev
 
 BRANCHES = 8
@@ -118,8 +119,15 @@ APPLICATION_EVENTS = {
 SPARK_MILLIS = "unix_millis(cast(o_orderdate as timestamp))"
 
 
+ROW_KEYS = {
+    "lineitem": ("l_orderkey", "l_linenumber", "l_partkey"),
+    "orders": ("o_orderkey",),
+    "documents": ("doc_id",),
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *ROW_KEYS[name])
 
 
 def _project(df: DataFrame, columns: dict[str, str], *more: F.Column) -> DataFrame:
@@ -193,6 +201,8 @@ def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _project(_table(spark, sf_dir, "orders"), EXECUTION_KEY,
                       F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"),
                       F.col("o_orderpriority").alias("priority"))
+    # Plans are expensive to analyse for their size, so their number decides the partitioning, not their bytes.
+    orders = orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "log_id", "execution_id")
     slots = [F.min(F.when(F.col("k") % BRANCHES == i, F.struct("k", "status", "priority"))) for i in range(BRANCHES)]
     return orders.groupBy("log_id", "execution_id").agg(F.array_compact(F.array(*slots)).alias("branches"))
 
