@@ -65,7 +65,7 @@ def analyze(lines: DataFrame, *, limits: Limits = DEFAULT_LIMITS, extra_rules: l
         rule_list = rules.register_rule(rule_list, rule)
     found = fd.all_findings(
         rule_list, stages=stage_table, failed_jobs=failed,
-        executions=rules.execution_signals(executions, nodes, duplicates, limits))
+        executions=rules.execution_signals(executions, plans, duplicates, limits))
     found = materialize(fd.number_findings(found), "findings")
     advice = advise.recommend(found)
     metrics = at.stage_attempt_metrics(tasks)

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as a generated id, and how it is rewritten, in this order.
+# What counts as a generated id and how it is rewritten, in this order.  The first
+# column is text a match always contains; most plan text contains none of it.
 REWRITES = (
-    (r"#\d+L?", ""),
-    (r"\s*\[plan_id=\d+\]", ""),
-    (r"\s*\[codegen id\s*:\s*\d+\]|codegen id\s*:\s*\d+", ""),
-    (r"WholeStageCodegen \(\d+\)", "WholeStageCodegen"),
-    (r"\b(ShuffleQueryStage|ResultQueryStage)\s+\d+\b", "$1"),
+    ("#", r"#\d+L?", ""),
+    ("[plan_id=", r"\s*\[plan_id=\d+\]", ""),
+    ("codegen id", r"\s*\[codegen id\s*:\s*\d+\]|codegen id\s*:\s*\d+", ""),
+    ("WholeStageCodegen (", r"WholeStageCodegen \(\d+\)", "WholeStageCodegen"),
+    ("QueryStage", r"\b(ShuffleQueryStage|ResultQueryStage)\s+\d+\b", "$1"),
+)
+SPACING = (
     (r"\s+,", ","),
     (r"\(\s+", "("),
     (r"\s+\)", ")"),
 )
+_SPACED = r"\s[\s,)]|\(\s|[\t\n\x0B\f\r]"
+_BLANKS = "".join(chr(c) for c in range(0x21))
 FILTER_LABEL = "PushedFilters: ["
 # Text without any of these characters is not touched by a rewrite.
 _TOUCHED = r"[#\[(),0-9\x00-\x20]"
@@ -25,12 +33,17 @@ _FLAT = r"[^()\[\]]++"
 _DEPTH_1 = rf"(?:{_FLAT}|\((?:{_FLAT})?\)|\[(?:{_FLAT})?\])"
 _DEPTH_2 = rf"(?:{_FLAT}|\({_DEPTH_1}*\)|\[{_DEPTH_1}*\])"
 _DEPTH_3 = rf"(?:{_FLAT}|\({_DEPTH_2}*\)|\[{_DEPTH_2}*\])"
-_SIMPLE_LIST = rf"^({_DEPTH_3}*)\]"
+_SIMPLE_LIST = rf"^{_DEPTH_3}*\]"
 _SIMPLE_ENTRY = rf"((?:[^,()\[\]]++|\({_DEPTH_2}*\)|\[{_DEPTH_2}*\])+)"
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def _tidy(entries: Column) -> Column:
@@ -63,39 +76,51 @@ def _walk(tail: Column) -> Column:
 
 def sort_pushed_filters(text: Column) -> Column:
     """Order the entries of the first ``PushedFilters: [..]`` list; an unclosed list is left alone."""
-    at = F.instr(text, FILTER_LABEL)
-    head_length = at + F.lit(len(FILTER_LABEL) - 1)
-    head = F.substr(text, F.lit(1), head_length)
-    tail = F.substr(text, head_length + 1)
-    simple = F.regexp_extract(tail, _SIMPLE_LIST, 1)
-    simple_rest = F.substr(tail, F.length(simple) + 1)
-    simple_entries = F.regexp_extract_all(simple, F.lit(_SIMPLE_ENTRY), F.lit(1))
-
-    def walked(state: Column) -> Column:
-        body = F.substr(tail, F.lit(1), state["end"] - 1)
-        bounds = F.concat(F.array(F.lit(0)), state["cuts"], F.array(state["end"]))
-        entries = F.transform(
-            F.sequence(F.lit(1), F.size(bounds) - 1),
-            lambda i: F.substr(body, F.element_at(bounds, i) + 1,
-                               F.element_at(bounds, i + 1) - F.element_at(bounds, i) - 1))
-        return F.when(state["end"] == 0, text).otherwise(
-            F.concat(head, _tidy(entries), F.substr(tail, state["end"])))
-
-    slow = F.element_at(F.transform(F.array(_walk(tail)), walked), 1)
-    return (
-        F.when(F.coalesce(at, F.lit(0)) == 0, text)
-        .when(tail.rlike(_SIMPLE_LIST), F.concat(head, _tidy(simple_entries), simple_rest))
-        .otherwise(slow)
-    )
+
+    def split(tail: Column) -> Column:
+        head = F.substr(text, F.lit(1), F.length(text) - F.length(tail))
+
+        def simple(matched: Column) -> Column:
+            entries = F.regexp_extract_all(
+                F.substr(matched, F.lit(1), F.length(matched) - 1), F.lit(_SIMPLE_ENTRY), F.lit(1))
+            return F.when(matched == "", _bind(_walk(tail), walked)).otherwise(
+                F.concat(head, _tidy(entries), F.substr(tail, F.length(matched))))
+
+        def walked(state: Column) -> Column:
+            body = F.substr(tail, F.lit(1), state["end"] - 1)
+            bounds = F.concat(F.array(F.lit(0)), state["cuts"], F.array(state["end"]))
+            entries = F.transform(
+                F.sequence(F.lit(1), F.size(bounds) - 1),
+                lambda i: F.substr(body, F.element_at(bounds, i) + 1,
+                                   F.element_at(bounds, i + 1) - F.element_at(bounds, i) - 1))
+            return F.when(state["end"] == 0, text).otherwise(
+                F.concat(head, _tidy(entries), F.substr(tail, state["end"])))
+
+        return _bind(F.regexp_extract(tail, _SIMPLE_LIST, 0), simple)
+
+    after = F.substr(text, F.instr(text, FILTER_LABEL) + len(FILTER_LABEL))
+    return F.when(text.contains(FILTER_LABEL), _bind(after, split)).otherwise(text)
+
+
+def _rewritten(rewrite: tuple[str, str, str], text: Column) -> Column:
+    marker, pattern, replacement = rewrite
+    return F.when(text.contains(marker), F.regexp_replace(text, pattern, replacement)).otherwise(text)
 
 
 def normalize_plan_text(text: Column) -> Column:
     value = sort_pushed_filters(text)
-    for pattern, replacement in REWRITES:
-        value = F.regexp_replace(value, pattern, replacement)
-    value = F.regexp_replace(_trim(value), r"\s+", " ")
+    for rewrite in REWRITES:
+        value = _bind(value, partial(_rewritten, rewrite))
+
+    def tidy_spacing(v: Column) -> Column:
+        spaced = v
+        for pattern, replacement in SPACING:
+            spaced = F.regexp_replace(spaced, pattern, replacement)
+        spaced = F.regexp_replace(_trim(spaced), r"\s+", " ")
+        return F.when(v.rlike(_SPACED), spaced).otherwise(_trim(v))
+
     return (
         F.when(~F.coalesce(text.rlike(r"\S"), F.lit(False)), F.lit(""))
         .when(~text.rlike(_TOUCHED), text)
-        .otherwise(value)
+        .otherwise(_bind(value, tidy_spacing))
     )

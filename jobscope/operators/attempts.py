@@ -42,8 +42,8 @@ def successful_logical_tasks(attempts: DataFrame) -> DataFrame:
     return logical_tasks(attempts).where(F.col("first").isNotNull()).select(*ATTEMPT, "task_index", "first.*")
 
 
-def stage_attempt_metrics(tasks: DataFrame) -> DataFrame:
-    """Counters and sums per stage attempt."""
+def stage_attempt_metrics(tasks: DataFrame, first_seen: bool = False) -> DataFrame:
+    """Counters and sums per stage attempt, optionally with its first mention by a task."""
     first = F.col("first")
     columns = [
         F.count_if(first.isNotNull()).alias("completed_tasks"),
@@ -66,6 +66,8 @@ def stage_attempt_metrics(tasks: DataFrame) -> DataFrame:
         F.sum("failed_attempts").alias("failed_attempts"),
         F.coalesce(F.sum("failed_ms"), F.lit(0)).alias("failed_ms"),
     ]
+    if first_seen:
+        columns.append(F.min("first_seq").alias("first_seq"))
     return tasks.groupBy(*ATTEMPT).agg(*columns)
 
 
@@ -84,23 +86,25 @@ def reason_list(reasons: DataFrame, keys: tuple[str, ...], name: str) -> DataFra
         F.array_sort(F.collect_list(F.struct("first_seq", "reason")))["reason"].alias(name))
 
 
+def fold_stage_events(stage_events: DataFrame) -> DataFrame:
+    """One row per stage attempt: last details, last completion, first mention; one pass over the events.
+
+    Details come from the last submission or completion, absent values included.
+    The completion that counts is the last one.
+    """
+    done = F.struct("seq", "stage_name", "num_tasks", "failure_reason")
+    return stage_events.groupBy(*ATTEMPT).agg(
+        F.max_by(F.struct("stage_name", "num_tasks"), "seq").alias("details"),
+        F.max_by(done, F.when(F.col("kind") == "completed", F.col("seq"))).alias("completion"),
+        F.min("seq").alias("first_seq"))
+
+
 def last_completion(stage_events: DataFrame) -> DataFrame:
-    """The completion that counts for each stage attempt: the last one."""
-    done = stage_events.where(F.col("kind") == "completed")
-    return (
-        done.groupBy(*ATTEMPT)
-        .agg(F.max_by(F.struct("seq", "stage_name", "num_tasks", "failure_reason"), "seq").alias("last"))
-        .select(*ATTEMPT, "last.*")
-    )
+    return fold_stage_events(stage_events).where(F.col("completion").isNotNull()).select(*ATTEMPT, "completion.*")
 
 
 def stage_details(stage_events: DataFrame) -> DataFrame:
-    """Name and task count from the last submission or completion, absent values included."""
-    return (
-        stage_events.groupBy(*ATTEMPT)
-        .agg(F.max_by(F.struct("stage_name", "num_tasks"), "seq").alias("last"))
-        .select(*ATTEMPT, "last.*")
-    )
+    return fold_stage_events(stage_events).select(*ATTEMPT, "details.*")
 
 
 def seen_attempts(stage_events: DataFrame | None, attempts: DataFrame) -> DataFrame:

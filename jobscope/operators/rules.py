@@ -216,7 +216,7 @@ def built_in_rules(limits: Limits = DEFAULT_LIMITS) -> list[Rule]:
         Rule("failed_job", "failed_jobs", 14, "Job %d failed.", lit(True), high,
              {"jobId": c("job_id"), "result": text_or_unknown(c("result"))}),
         Rule("failed_stage", "stages", 15, "Stage %d failed.", c("outcome") == "failed", high,
-             {"stageId": c("stage_id"), "stageName": text_or_unknown(c("completion.name")),
+             {"stageId": c("stage_id"), "stageName": text_or_unknown(c("completion.stage_name")),
               "failureReason": text_or_unknown(c("completion.failure_reason")),
               "failedTaskAttempts": c("failed_attempts").cast("int"),
               "failedTaskAttemptDurationMillis": c("failed_ms"),
@@ -270,11 +270,11 @@ def apply_rules(rules: list[Rule], source: str, table: DataFrame) -> DataFrame:
     )
 
 
-def execution_signals(executions: DataFrame, nodes: DataFrame, duplicates: DataFrame,
+def execution_signals(executions: DataFrame, plans: DataFrame, duplicates: DataFrame,
                       limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Per SQL execution what the plan rules look at: exchange count and the top repeated subtrees."""
-    exchanges = nodes.where(F.col("node_name") == "Exchange").groupBy(*EXECUTION).agg(
-        F.count(F.lit(1)).alias("exchange_count"))
+    exchanges = plans.select(*EXECUTION, F.size(F.filter(
+        F.col("nodes.node_name"), lambda n: n == "Exchange")).cast("bigint").alias("exchange_count"))
     large = (F.col("count") >= limits.duplicate_min_count) & (F.col("subtree_size") >= limits.duplicate_min_size)
     telling = large & (F.size("interesting") > 0)
     exchange = large & (F.col("root") == "Exchange")

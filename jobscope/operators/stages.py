@@ -20,24 +20,21 @@ def stages(attempts: DataFrame, stage_events: DataFrame | None = None, *,
     in an already stored ``logical_tasks`` table.
     """
     tasks = at.logical_tasks(attempts) if tasks is None else tasks
-    metrics = at.stage_attempt_metrics(tasks)
-    seen = at.seen_attempts(stage_events, attempts)
-    wide = seen.join(metrics, [*ATTEMPT], "left")
+    metrics = at.stage_attempt_metrics(tasks, first_seen=True)
+    if stage_events is None:
+        wide = metrics.withColumns({
+            "details": F.lit(None).cast("struct<stage_name:string,num_tasks:int>"),
+            "completion": F.lit(None).cast("struct<stage_name:string,failure_reason:string>")})
+    else:
+        folded = at.fold_stage_events(stage_events).withColumnRenamed("first_seq", "_event_seq")
+        wide = folded.join(metrics, [*ATTEMPT], "full").withColumn(
+            "first_seq", F.least("first_seq", "_event_seq")).drop("_event_seq")
     if statistics:
         stats = order_stats.order_statistics(order_stats.value_counts(tasks))
         wide = wide.join(order_stats.statistics_by_attempt(stats), [*ATTEMPT], "left")
     if spread:
-        summary = workers.worker_summary(workers.worker_totals(tasks), metrics)
+        summary = workers.worker_summary(workers.worker_totals(tasks), at.stage_attempt_metrics(tasks))
         wide = wide.join(workers.heaviest_by_attempt(workers.heaviest_worker(summary)), [*ATTEMPT], "left")
-    if stage_events is not None:
-        wide = wide.join(at.stage_details(stage_events), [*ATTEMPT], "left")
-        done = at.last_completion(stage_events).select(
-            *ATTEMPT, F.struct(F.col("stage_name").alias("name"), "failure_reason").alias("completion"))
-        wide = wide.join(done, [*ATTEMPT], "left")
-    else:
-        wide = (wide.withColumn("stage_name", F.lit(None).cast("string"))
-                .withColumn("num_tasks", F.lit(None).cast("int"))
-                .withColumn("completion", F.lit(None).cast("struct<name:string,failure_reason:string>")))
     if reasons:
         why = at.failure_reasons(attempts)
         wide = wide.join(at.reason_list(why, ATTEMPT, "attempt_reasons"), [*ATTEMPT], "left")
@@ -62,6 +59,8 @@ def stages(attempts: DataFrame, stage_events: DataFrame | None = None, *,
             "memory_total_bytes", "disk_total_bytes", "speculative_attempts", "speculative_ms",
             "duplicate_successes", "failed_attempts", "failed_ms"]
     return folded.withColumns({
+        "stage_name": F.col("details.stage_name"),
+        "num_tasks": F.col("details.num_tasks"),
         **{c: F.coalesce(c, F.lit(0)) for c in zero},
         "attempt_reasons": F.coalesce("attempt_reasons", F.array().cast("array<string>")),
         "all_reasons": F.coalesce("all_reasons", F.array().cast("array<string>")),

@@ -94,7 +94,7 @@ def _executions(spark: SparkSession, d: str) -> DataFrame:
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
     plans = tb.plans(spark, d)
-    return rules.execution_signals(_executions(spark, d), flatten.plan_nodes(plans), subtrees.duplicate_subtrees(plans))
+    return rules.execution_signals(_executions(spark, d), plans, subtrees.duplicate_subtrees(plans))
 
 
 def _stage_findings(stage_table: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def report_rows(applications: DataFrame, summary: DataFrame, stages: DataFrame,
                  c("latest_plan_description").alias("latestPhysicalPlanDescription"),
                  c("error_message").alias("errorMessage"), "operatorSummaries"),
         _section(failed_jobs, "failedJobs", c("job_id"), c("job_id").alias("id"), "result"),
-        _section(broken, "failedStages", c("stage_id"), c("stage_id").alias("id"), c("completion.name").alias("name"),
+        _section(broken, "failedStages", c("stage_id"), c("stage_id").alias("id"), c("completion.stage_name").alias("name"),
                  c("completion.failure_reason").alias("failureReason"), c("failed_attempts").alias("failedTaskAttempts"),
                  c("failed_ms").alias("failedTaskAttemptDurationMillis"),
                  c("attempt_reasons").alias("failedTaskAttemptReasons")),

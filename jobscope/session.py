@@ -11,7 +11,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def build_session(app_name: str = "jobscope", master: str | None = None,
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
     """A session with the settings the library relies on; cluster settings win where present."""
     builder = (
         SparkSession.builder.appName(app_name)
@@ -25,6 +25,8 @@ def build_session(app_name: str = "jobscope", master: str | None = None,
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     return builder.getOrCreate()
 
 

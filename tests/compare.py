@@ -54,7 +54,7 @@ def main() -> None:
     from jobscope.session import build_session
 
     sf_dir, only = sys.argv[1], set(sys.argv[2:])
-    spark = build_session("compare", "local[8]", 8)
+    spark = build_session("compare", "local[8]", 8, "12g")
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls = duck(sf_dir), entry.oracle_sql()
     bad = 0
