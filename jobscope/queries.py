@@ -144,7 +144,8 @@ def _recognise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parsed_attempts(spark: SparkSession, d: str) -> DataFrame:
-    lines = tb.task_lines(tb.attempts(spark, d))
+    """Attempts written as listener lines, stored, and parsed back."""
+    lines = materialize(tb.task_lines(tb.attempts(spark, d)), "lines")
     return ev.task_attempts(ev.recognise_events(lines)).drop("seq")
 
 
@@ -154,9 +155,7 @@ def _extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _task_success(spark: SparkSession, d: str) -> DataFrame:
-    lines = tb.task_lines(tb.attempts(spark, d))
-    return ev.task_attempts(ev.recognise_events(lines)).groupBy("log_id", "success", "reason").agg(
-        F.count(F.lit(1)).alias("n"))
+    return _parsed_attempts(spark, d).groupBy("log_id", "success", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _union_counts(spark: SparkSession, d: str) -> DataFrame:

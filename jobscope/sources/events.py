@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.functions.coerce import lenient_bool, lenient_int, lenient_long
+from jobscope.functions.coerce import lenient_bool, lenient_int, lenient_long, lenient_longs
 
 # The recognised listener events.
 CORE_EVENTS = (
@@ -31,26 +31,33 @@ _STAGE_INFO = ("`Stage Info` struct<`Stage ID`:string,`Stage Attempt ID`:string,
                "`Number of Tasks`:string,`Failure Reason`:string>")
 
 
+RECOGNISED_TAIL = r"([^.]*)$"
+# One pattern, so that a line's event is looked at once: SQL events also match behind any package prefix.
+RECOGNISED = r"^(?:(?:.*\.)?(" + "|".join(SQL_EVENTS) + ")|(" + "|".join(CORE_EVENTS) + "))$"
+
+
 def event_name(value: Column) -> Column:
-    """The recognised event of a line, or NULL.  SQL events also match behind any package prefix."""
-    raw = F.get_json_object(value, "$.Event")
-    last = F.regexp_extract(raw, r"([^.]+)$", 1)
-    return F.when(raw.isin(*CORE_EVENTS), raw).when(last.isin(*SQL_EVENTS), last)
+    """The event of a line without its package prefix, or NULL if the line has none."""
+    return F.regexp_extract(F.get_json_object(value, "$.Event"), RECOGNISED_TAIL, 1)
+
+
+def is_recognised(value: Column) -> Column:
+    return F.coalesce(F.get_json_object(value, "$.Event").rlike(RECOGNISED), F.lit(False))
 
 
 def recognise_events(lines: DataFrame) -> DataFrame:
     """Only lines of the recognised events, with their name; other lines are never parsed further."""
-    return (lines.select("log_id", "seq", event_name(F.col("value")).alias("event"), "value")
-            .where(F.col("event").isNotNull()))
+    return lines.where(is_recognised(F.col("value"))).select(
+        "log_id", "seq", event_name(F.col("value")).alias("event"), "value")
 
 
 def validate_logs(lines: DataFrame) -> DataFrame:
     """One row per log: counts and whether the log is usable."""
-    event = event_name(F.col("value"))
+    raw = F.get_json_object("value", "$.Event")
     return (
         lines.groupBy("log_id").agg(
-            F.count_if(event.isNotNull()).alias("recognised"),
-            F.count_if(event == APP_START).alias("starts"),
+            F.count_if(raw.rlike(RECOGNISED)).alias("recognised"),
+            F.count_if(raw == APP_START).alias("starts"),
             F.count_if(F.try_parse_json("value").isNull()).alias("corrupt_lines"))
         .withColumn("status",
                     F.when(F.col("corrupt_lines") > 0, "corrupt")
@@ -143,17 +150,16 @@ def task_success(has_info_flag: Column, flag: Column, reason: Column) -> Column:
     return ~(has_info_flag & ~lenient_bool(flag)) & F.coalesce(reason == "Success", F.lit(True))
 
 
-def shuffle_read_bytes(metrics: Column, local: Column, remote: Column) -> Column:
-    """NULL only without shuffle-read metrics; zero bytes still make a shuffle-reading task."""
-    return F.when(metrics.isNotNull(), F.coalesce(local, F.lit(0)) + F.coalesce(remote, F.lit(0)))
-
-
 def spill_bytes(wanted: Column, other: Column) -> Column:
     return F.when(wanted.isNotNull() | other.isNotNull(), F.coalesce(wanted, F.lit(0)))
 
 
 def task_attempts(events: DataFrame) -> DataFrame:
-    """One row per task end."""
+    """One row per task end.
+
+    Shuffle bytes are NULL only without shuffle-read metrics; zero bytes still
+    make a shuffle-reading task.
+    """
     schema = (
         "`Stage ID` string, `Stage Attempt ID` string, "
         "`Stage Info` struct<`Stage ID`:string,`Stage Attempt ID`:string>, "
@@ -166,26 +172,34 @@ def task_attempts(events: DataFrame) -> DataFrame:
     info, metrics = F.col("e.Task Info"), F.col("e.Task Metrics")
     shuffle = metrics["Shuffle Read Metrics"]
     # A JSON null under the key still counts as present.
-    flagged = info["Successful"].isNotNull() | F.col("value").rlike(r'"Successful"\s*:\s*null')
-    memory, disk = lenient_long(metrics["Memory Bytes Spilled"]), lenient_long(metrics["Disk Bytes Spilled"])
-    return rows.select(
-        "log_id", "seq",
-        lenient_int(F.coalesce(F.col("e.Stage ID"), F.col("e.Stage Info.Stage ID"))).alias("stage_id"),
-        F.coalesce(lenient_int(F.coalesce(F.col("e.Stage Attempt ID"), F.col("e.Stage Info.Stage Attempt ID"))),
-                   F.lit(0)).alias("stage_attempt_id"),
-        F.coalesce(lenient_long(info["Index"]), lenient_long(info["Task ID"])).alias("task_index"),
-        lenient_long(info["Task ID"]).alias("task_id"),
+    flagged = info["Successful"].isNotNull() | (
+        F.col("value").contains('"Successful"') & F.col("value").rlike(r'"Successful"\s*:\s*null'))
+    texts = {
+        "stage_id": F.coalesce(F.col("e.Stage ID"), F.col("e.Stage Info.Stage ID")),
+        "attempt": F.coalesce(F.col("e.Stage Attempt ID"), F.col("e.Stage Info.Stage Attempt ID")),
+        "index": info["Index"], "task_id": info["Task ID"], "launch": info["Launch Time"], "finish": info["Finish Time"],
+        "local": shuffle["Local Bytes Read"], "remote": shuffle["Remote Bytes Read"],
+        "memory": metrics["Memory Bytes Spilled"], "disk": metrics["Disk Bytes Spilled"]}
+    read = rows.select(
+        "log_id", "seq", lenient_longs(list(texts.values())).alias("n"), shuffle.isNotNull().alias("shuffled"),
         task_success(flagged, info["Successful"], F.col("e.Task End Reason.Reason")).alias("success"),
-        F.col("e.Task End Reason.Reason").alias("reason"),
-        lenient_bool(info["Speculative"]).alias("speculative"),
-        (lenient_long(info["Finish Time"]) - lenient_long(info["Launch Time"])).alias("duration_ms"),
-        shuffle_read_bytes(shuffle, lenient_long(shuffle["Local Bytes Read"]),
-                           lenient_long(shuffle["Remote Bytes Read"])).alias("shuffle_read_bytes"),
-        spill_bytes(memory, disk).alias("memory_bytes_spilled"),
-        spill_bytes(disk, memory).alias("disk_bytes_spilled"),
-        info["Executor ID"].alias("executor_id"),
-        info["Host"].alias("host"),
-    )
+        F.col("e.Task End Reason.Reason").alias("reason"), lenient_bool(info["Speculative"]).alias("speculative"),
+        info["Executor ID"].alias("executor_id"), info["Host"].alias("host"))
+    number = {name: F.get("n", F.lit(i)) for i, name in enumerate(texts)}
+
+    def as_int(value: Column) -> Column:
+        return F.when(value.isNotNull(), F.coalesce(value.try_cast("int"), F.lit(0)))
+
+    return read.select(
+        "log_id", "seq", as_int(number["stage_id"]).alias("stage_id"),
+        F.coalesce(as_int(number["attempt"]), F.lit(0)).alias("stage_attempt_id"),
+        F.coalesce(number["index"], number["task_id"]).alias("task_index"), number["task_id"].alias("task_id"),
+        "success", "reason", "speculative", (number["finish"] - number["launch"]).alias("duration_ms"),
+        F.when(F.col("shuffled"), F.coalesce(number["local"], F.lit(0)) + F.coalesce(number["remote"], F.lit(0)))
+        .alias("shuffle_read_bytes"),
+        spill_bytes(number["memory"], number["disk"]).alias("memory_bytes_spilled"),
+        spill_bytes(number["disk"], number["memory"]).alias("disk_bytes_spilled"),
+        "executor_id", "host")
 
 
 def sql_execution_events(events: DataFrame) -> DataFrame:
