@@ -28,11 +28,14 @@ def analyze(lines: DataFrame, *, limits: Limits = DEFAULT_LIMITS, extra_rules: l
             strict: bool = False) -> dict[str, DataFrame]:
     """All result tables for the logs in ``lines``.
 
-    Three tables are stored on the way, because several branches read them: the
-    recognised events (partitioned by kind, so each branch reads only its own),
-    the logical tasks, and the numbered findings.
+    Tables that several branches read are stored on the way: the recognised
+    events (partitioned by kind, so each branch reads only its own), the
+    attempts and logical tasks, the stages, executions and plans, and the
+    numbered findings.
     """
-    validation = ev.validate_logs(lines)
+    # Stored, so that its true size is known: the lines are then filtered without being shuffled
+    # unless the list of unusable logs is too large to broadcast.
+    validation = materialize(ev.validate_logs(lines), "validation")
     if strict:
         bad = validation.where(F.col("status") != "ok").limit(1).collect()
         if bad:
