@@ -46,34 +46,32 @@ def _per_node(plans: DataFrame, *fields: Column) -> DataFrame:
     return prepare(plans).select("*", placed).select(*EXECUTION, "ord", *fields)
 
 
-def subtree_text() -> Column:
+def subtree_text(ord_: Column, size: Column) -> Column:
     """``name|text|[child,child]`` of the subtree under a node; the order of children matters.
 
     A slice of the plan's own text: the first token without its lead, then all
     that follows inside the subtree, then the brackets still open.
     """
-    last = F.get("depths", F.col("ord") + F.col("subtree_size") - 1)
     return F.concat(
-        F.get("tokens", F.col("ord")),
-        F.array_join(F.slice("opened", F.col("ord") + 2, F.col("subtree_size") - 1), ""),
-        F.repeat(F.lit("]"), last - F.get("depths", F.col("ord")) + 1))
+        F.get("tokens", ord_),
+        F.array_join(F.slice("opened", ord_ + 2, size - 1), ""),
+        F.repeat(F.lit("]"), F.get("depths", ord_ + size - 1) - F.get("depths", ord_) + 1))
 
 
-def subtree_operators() -> Column:
+def subtree_operators(ord_: Column, size: Column) -> Column:
     """Distinct operator names of the subtree under a node, in text order."""
-    return F.sort_array(F.array_distinct(F.array_compact(
-        F.slice("names", F.col("ord") + 1, F.col("subtree_size")))))
+    return F.sort_array(F.array_distinct(F.array_compact(F.slice("names", ord_ + 1, size))))
 
 
 def subtree_fingerprints(plans: DataFrame) -> DataFrame:
     """The exact text fingerprint of every subtree."""
-    return _per_node(plans, subtree_text().alias("fingerprint"))
+    return _per_node(plans, subtree_text(F.col("ord"), F.col("subtree_size")).alias("fingerprint"))
 
 
 def subtree_members(plans: DataFrame) -> DataFrame:
     """For every node: size and depth of its subtree and the operators in it."""
     return _per_node(plans, F.col("subtree_size"), F.get("heights", F.col("ord")).alias("subtree_depth"),
-                     subtree_operators().alias("operators"))
+                     subtree_operators(F.col("ord"), F.col("subtree_size")).alias("operators"))
 
 
 def is_interesting(name: Column) -> Column:
@@ -84,24 +82,30 @@ def is_interesting(name: Column) -> Column:
 
 
 def duplicate_subtrees(plans: DataFrame) -> DataFrame:
-    """Subtrees that occur at least twice in one plan.
+    """Subtrees that occur at least twice in one plan, found without leaving the plan's row.
 
-    Grouping is by the digest of the fingerprint, so only digests are
-    exchanged.  The rows of a plan sit in one task already and are combined
-    there before the shuffle.
+    Digests of all subtrees are sorted inside the row; equal neighbours form a
+    group, whose first entry is its first subtree in pre-order.
     """
-    rows = _per_node(
-        plans, F.sha2(subtree_text(), 256).alias("fingerprint"),
-        F.struct(F.coalesce(F.get("raw_names", F.col("ord")), F.lit("")).alias("root"), "subtree_size",
-                 F.get("heights", F.col("ord")).alias("subtree_depth"), subtree_operators().alias("operators"),
-                 F.col("ord").alias("first_ord")).alias("body"))
-    return (
-        rows.groupBy(*EXECUTION, "fingerprint")
-        .agg(F.count(F.lit(1)).alias("count"), F.min_by("body", "ord").alias("r"))
-        .where(F.col("count") >= 2)
-        .select(*EXECUTION, "fingerprint", "count", "r.*")
-        .withColumn("interesting", F.filter("operators", is_interesting))
-    )
+    marked = F.transform("sizes", lambda size, ord_: F.struct(
+        F.sha2(subtree_text(ord_, size), 256).alias("fingerprint"), ord_.alias("ord")))
+    digests = prepare(plans).withColumn("marks", F.sort_array(marked))
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("marks") - 1),
+        lambda i: (i == 0) | (F.get("marks", i)["fingerprint"] != F.get("marks", i - 1)["fingerprint"]))
+    group = F.transform("starts", lambda at, i: F.struct(
+        F.get("marks", at)["fingerprint"].alias("fingerprint"), F.get("marks", at)["ord"].alias("first_ord"),
+        (F.coalesce(F.get("starts", i + 1), F.size("marks")) - at).cast("bigint").alias("count")))
+    repeated = (
+        digests.withColumn("starts", starts)
+        .select("*", F.explode(F.filter(group, lambda g: g["count"] >= 2)).alias("g")))
+    first = F.col("g.first_ord")
+    size = F.get("sizes", first)
+    return repeated.select(
+        *EXECUTION, "g.fingerprint", "g.count", F.coalesce(F.get("raw_names", first), F.lit("")).alias("root"),
+        size.alias("subtree_size"), F.get("heights", first).alias("subtree_depth"),
+        subtree_operators(first, size).alias("operators"), first.alias("first_ord"),
+    ).withColumn("interesting", F.filter("operators", is_interesting))
 
 
 def duplicate_rank() -> Column:
