@@ -20,8 +20,6 @@ def build_session(app_name: str = "jobscope", master: str | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
-        # HotSpot never compiles methods above 8000 bytes; such stages run faster without whole-stage code.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Call-site capture makes two extra JVM round trips per column expression.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
