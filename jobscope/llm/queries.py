@@ -22,6 +22,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                         public_tokenizers.path(TOKENIZER))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobscope.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobscope.llm.secret_scan import scan_secrets, secret_digests
+
+    return secret_digests(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobscope.llm.language_id import identify_languages
 
@@ -29,7 +41,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op9_language_id)}
+    f.__name__: f for f in (op1_token_counts, op3_simhash, op5_secret_scan, op9_language_id)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {}
