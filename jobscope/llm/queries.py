@@ -28,12 +28,24 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobscope.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobscope.llm.secret_scan import scan_secrets, secret_digests
 
     return secret_digests(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobscope.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobscope.llm.language_id import identify_languages
 
@@ -41,7 +53,27 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_simhash, op5_secret_scan, op9_language_id)}
+    f.__name__: f for f in (op1_token_counts, op3_simhash, op4_html_text, op5_secret_scan,
+                                op7_mix_sources, op9_language_id)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_mix_sources": r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+         md5('mix:' || coalesce(doc_id::varchar, 'null')) as draw from documents),
+s as (select source, sum(size)::bigint as size from d group by source),
+w as (select *, [3.0::double, 1.0::double, 2.0::double][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight
+      from s),
+c as (select *, 2.0 * size as cap, row_number() over (order by 2.0 * size / weight, source nulls last) as k from w),
+p as (select k, 2.0 * size / weight as ratio,
+             (select sum(size) * 1.5 from s) - coalesce(sum(cap) over (order by k rows between unbounded preceding and 1 preceding), 0) as left_over,
+             sum(weight) over (order by k rows between current row and unbounded following) as weights from c),
+l as (select min_by(left_over / weights, k) as level from p where left_over / weights < ratio),
+t as (select source, size as source_size, coalesce(least(cap, weight * (select level from l)), cap) as target from c),
+f as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as wholes from t)
+select doc_id, size::bigint as size, source_size, target,
+       (size * (wholes + (coalesce(sum(size) over (partition by d.source order by draw, size
+          rows between unbounded preceding and 1 preceding), 0) + size / 2 <= target - wholes * source_size)::int))::bigint as taken
+from d join f on d.source is not distinct from f.source""",
+}
