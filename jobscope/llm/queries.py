@@ -40,6 +40,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobscope.llm.weighted_sampling import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobscope.llm.mixing import mix_sources
 
@@ -54,7 +60,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op3_simhash, op4_html_text, op5_secret_scan,
-                                op7_mix_sources, op9_language_id)}
+                                op6_weighted_fingerprint, op7_mix_sources, op9_language_id)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
