@@ -58,9 +58,15 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobscope.llm.disclosure import personal_digests, scan_personal
+
+    return personal_digests(scan_personal(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op3_simhash, op4_html_text, op5_secret_scan,
-                                op6_weighted_fingerprint, op7_mix_sources, op9_language_id)}
+                                op6_weighted_fingerprint, op7_mix_sources, op9_language_id, op10_personal_data)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
