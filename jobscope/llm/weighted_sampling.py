@@ -102,36 +102,39 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     The edited text ends, in its last third, with the beginning of the next document's text.  Documents follow each
     other by descending doc_id, a null one last; of rows with one doc_id, the one whose text has the least SHA-256 is
     what the document before them continues with.  A lone document is its own next.  Null texts are empty; texts
-    without words have an empty fingerprint and are alike.  Repeated rows and empty tables pass through; further columns are ignored.
+    without words have an empty fingerprint and are alike.  Repeated rows and empty tables pass through; further columns
+    are ignored.
     """
     least = -(1 << 63)
-    texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(least)).alias("key"),
-                        whole().alias("text"))
-    heads = store(texts.select("key", F.unhex(F.sha2("text", 256)).alias("sha"), F.length("text").alias("n"))
+    id_type = docs.schema["doc_id"].dataType
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(least)).alias("key"), whole().alias("text"))
+    sha = F.unhex(F.sha2("text", 256))
+    heads = store(texts.select("key", sha.alias("sha"), F.length("text").alias("n"))
                   .groupBy("key").agg(F.min("sha").alias("sha"), F.floor(F.max("n") / 3).alias("cut")), "heads")
     follow = store(next_documents(heads.select("key")), "next")
-    asked = (follow.join(heads.select("key", "cut"), "key")
-             .select(F.col("next").alias("key"), F.col("key").alias("asker"), "cut")
-             .join(heads.select("key", "sha"), "key"))
-    asked = store(asked, "asked")
-    placed = texts.join(asked, "key")
-    begins = (placed.filter(F.unhex(F.sha2("text", 256)) == F.col("sha"))
+    asked = store(follow.join(heads.select("key", "cut"), "key")
+                  .select(F.col("next").alias("key"), F.col("key").alias("asker"), "cut")
+                  .join(heads.select("key", "sha"), "key"), "asked")
+    # Every branch below takes (key, text) dealt by key, so that the texts are shuffled once and that is used again;
+    # written as an equality, the last condition would become a key of the join and deal them anew.
+    begins = (texts.join(asked, "key").filter(F.least("sha", sha) == F.greatest("sha", sha))
               .select(F.col("asker").alias("key"), F.expr("left(text, cut)").alias("begin")).dropDuplicates(["key"]))
     cut = F.floor(F.length("text") / 3)
-    edited = placed.select("doc_id", "key", "text").join(begins, "key").select(
-        "doc_id", "key", "text", F.xxhash64("text").alias("told"), F.length("text").cast("bigint").alias("n_chars"),
-        F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - cut), F.substring(F.col("begin"), F.lit(1), cut)).alias("edited"))
+    edited = texts.join(begins, "key").select(
+        "key", "text", F.xxhash64("text").alias("told"), F.length("text").cast("bigint").alias("n_chars"),
+        F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - cut),
+                 F.substring(F.col("begin"), F.lit(1), cut)).alias("edited"))
     both = edited.select("key", "told", F.explode(F.array(
-        F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("x"))
+        F.struct(F.lit(0).alias("which"), "text"),
+        F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("x"))
     drawn = signatures(both.select("key", "told", "x.which", "x.text"), ["key", "told", "which"])
     drawn = drawn.groupBy("key", "told").agg(F.max(F.when(F.col("which") == 0, F.col("signature"))).alias("own"),
                                              F.max(F.when(F.col("which") == 1, F.col("signature"))).alias("edited"))
-    found = store(edited.select("doc_id", "key", "told", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-                                (F.unhex(F.sha2("text", 256))).alias("sha"))
+    found = store(edited.select("key", "told", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sha.alias("sha"))
                   .join(drawn, ["key", "told"]), "signatures")
     first = found.join(heads.select("key", "sha"), ["key", "sha"]).select("key", "own").dropDuplicates(["key"])
     following = follow.join(first.select(F.col("key").alias("next"), F.col("own").alias("following")), "next")
     return found.join(following.select("key", "following"), "key").select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"),
-        fingerprint("edited").alias("edited_fingerprint"), likeness("own", "edited").alias("near_edited"),
-        likeness("own", "following").alias("near_next"))
+        F.when(F.col("key") != least, F.col("key")).cast(id_type).alias("doc_id"), "n_chars", "edited_sha256",
+        fingerprint("own").alias("fingerprint"), fingerprint("edited").alias("edited_fingerprint"),
+        likeness("own", "edited").alias("near_edited"), likeness("own", "following").alias("near_next"))
