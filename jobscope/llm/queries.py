@@ -22,6 +22,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                         public_tokenizers.path(TOKENIZER))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobscope.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobscope.llm.simhash import simhash_components
 
@@ -65,7 +71,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_simhash, op4_html_text, op5_secret_scan,
+    f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_simhash, op4_html_text, op5_secret_scan,
                                 op6_weighted_fingerprint, op7_mix_sources, op9_language_id, op10_personal_data)}
 
 #: DuckDB SQL of the queries that SQL can express.
