@@ -22,7 +22,7 @@ from jobscope.llm.common import rows_of, store, whole
 
 WORDS, MAX_BITS, SEED = 3, 3, 42
 #: Fingerprints in a shard that the tree's depth aims at, and rows of either side in one block of a shard.
-SHARD, BLOCK = 2048, 4096
+SHARD, BLOCK = 8192, 16384
 #: Bound of the sample from which vantage patterns and radii are taken; it does not touch the results.
 SAMPLE = 20_000
 
