@@ -58,6 +58,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobscope.llm.decontamination import leaks_of_documents
+
+    return leaks_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobscope.llm.language_id import identify_languages
 
@@ -72,7 +78,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_simhash, op4_html_text, op5_secret_scan,
-                                op6_weighted_fingerprint, op7_mix_sources, op9_language_id, op10_personal_data)}
+                                op6_weighted_fingerprint, op7_mix_sources, op8_decontaminate, op9_language_id, op10_personal_data)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
