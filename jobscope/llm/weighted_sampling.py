@@ -47,7 +47,7 @@ def sample_of(term: Column, weight: Column, sample: Column) -> Column:
     value = F.log(-F.log(v1 * v2)) - r * (t - b) - r
     rank = F.floor((F.greatest(F.lit(-63.0), F.least(F.lit(63.0), value)) + 64.0) * float(1 << 24)).cast("bigint")
     told = F.xxhash64(term, t).bitwiseAND(F.lit(_LOW))
-    return F.shiftleft(rank, 32).bitwiseOR(told)
+    return F.when(term.isNotNull(), F.shiftleft(rank, 32).bitwiseOR(told))
 
 
 def signatures(texts: DataFrame, keys: list[str]) -> DataFrame:
