@@ -39,10 +39,13 @@ def _long(value: object) -> int | None:
         return 0
 
 
-def flatten_tree(tree: object) -> list[dict] | None:
-    """Nodes of one parsed plan in pre-order, with the size and depth of each subtree."""
+def flatten_tree(tree: object) -> list[dict]:
+    """Nodes of one parsed plan in pre-order, with the size and depth of each subtree.
+
+    A plan that is no object is one node without a name.
+    """
     if not isinstance(tree, dict):
-        return None
+        tree = {}
     nodes: list[dict] = []
     stack = [(tree, 1, None)]
     while stack:
@@ -66,9 +69,19 @@ def flatten_tree(tree: object) -> list[dict] | None:
     return nodes
 
 
+def parse_plan(text: str) -> list[dict] | None:
+    """Nodes of a plan's text; a bare word is no object, and a tree too deep to be read gives no plan."""
+    try:
+        return flatten_tree(json.loads(text))
+    except RecursionError:
+        return None
+    except ValueError:
+        return flatten_tree(None)
+
+
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        trees = [flatten_tree(json.loads(text)) for text in batch.column("plan_json").to_pylist()]
+        trees = [parse_plan(text) for text in batch.column("plan_json").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("log_id"), batch.column("execution_id"), pa.array(trees, pa.list_(_ARROW_NODE))],
             ["log_id", "execution_id", "nodes"])

@@ -226,11 +226,9 @@ def _task_count(spark: SparkSession, d: str) -> DataFrame:
         "log_id", (F.col("t") + F.coalesce("loose_tasks", F.lit(0))).alias("tasks"))
 
 
-def _metric_columns(*columns: str, when: str | None = None) -> Query:
+def _metric_columns(*columns: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        table = _metrics(spark, d)
-        table = table.where(when) if when else table
-        return _of_latest(spark, d, table.select(*ATTEMPT, *columns))
+        return _of_latest(spark, d, _metrics(spark, d).select(*ATTEMPT, *columns))
 
     return run
 
@@ -391,17 +389,16 @@ QUERIES: dict[str, Query] = {
     "successful_logical_tasks": lambda s, d: at.successful_logical_tasks(tb.attempts(s, d)).drop("seq"),
     "task_count": _task_count,
     "stage_duration_stats": _metric_columns("completed_tasks", "duration_samples", "duration_min_ms", "duration_max_ms",
-                                            "duration_avg_ms", when="completed_tasks > 0"),
-    "stage_shuffle_stats": _metric_columns("shuffle_samples", "shuffle_total_bytes", "shuffle_max_bytes",
-                                           when="completed_tasks > 0"),
+                                            "duration_avg_ms"),
+    "stage_shuffle_stats": _metric_columns("shuffle_samples", "shuffle_total_bytes", "shuffle_max_bytes"),
     "stage_spill_stats": _metric_columns("spill_samples", "memory_total_bytes", "disk_total_bytes", "memory_max_bytes",
-                                         "disk_max_bytes", when="completed_tasks > 0"),
+                                         "disk_max_bytes"),
     "exact_median": lambda s, d: order_stats.order_statistics(_counts(s, d)).drop("p95", "p99"),
     "nearest_rank_percentile": lambda s, d: order_stats.order_statistics(_counts(s, d)).drop("median"),
     "sorted_samples": lambda s, d: order_stats.sorted_samples(_counts(s, d)),
     "failed_attempts": _failed_attempts,
-    "speculative_attempts": _metric_columns("speculative_attempts", "speculative_ms", when="completed_tasks > 0"),
-    "duplicate_successes": _metric_columns("duplicate_successes", when="completed_tasks > 0"),
+    "speculative_attempts": _metric_columns("speculative_attempts", "speculative_ms"),
+    "duplicate_successes": _metric_columns("duplicate_successes"),
     "executor_summary": _worker_query("executor"),
     "host_summary": _worker_query("host"),
     "heaviest_worker": lambda s, d: workers.heaviest_worker(_workers(s, d)).select(

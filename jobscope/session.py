@@ -62,16 +62,3 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Use all cores when a scan has fewer splits than the cluster has cores.
-
-    A few unsplittable files would otherwise be parsed on a few cores.  With
-    enough splits, as for any large input, this adds nothing to the plan.
-    ``columns`` should tell rows apart, so that the hash spreads them evenly.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *columns)

@@ -52,13 +52,20 @@ def recognise_events(lines: DataFrame) -> DataFrame:
 
 
 def validate_logs(lines: DataFrame) -> DataFrame:
-    """One row per log: counts and whether the log is usable."""
-    raw = F.get_json_object("value", "$.Event")
+    """One row per log: counts and whether the log is usable.
+
+    A line is read once, for its event and for whether it is JSON; a key may be repeated, and the last one counts.
+    Lines that are JSON but no object are looked at again, and are not corrupt.
+    """
+    line = F.from_json("value", "Event string, _corrupt string",
+                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    raw = F.col("line.Event")
+    corrupt = F.col("line._corrupt").isNotNull() & F.try_parse_json("value").isNull()
     return (
-        lines.groupBy("log_id").agg(
+        lines.select("log_id", "value", line.alias("line")).groupBy("log_id").agg(
             F.count_if(raw.rlike(RECOGNISED)).alias("recognised"),
             F.count_if(raw == APP_START).alias("starts"),
-            F.count_if(F.try_parse_json("value").isNull()).alias("corrupt_lines"))
+            F.count_if(corrupt).alias("corrupt_lines"))
         .withColumn("status",
                     F.when(F.col("corrupt_lines") > 0, "corrupt")
                     .when(F.col("recognised") == 0, "no_events")
@@ -221,11 +228,13 @@ def sql_execution_events(events: DataFrame) -> DataFrame:
 
 
 def driver_accum_updates(events: DataFrame) -> DataFrame:
-    """``[id, value]`` pairs; shorter ones are skipped."""
-    rows = _parsed(events, (DRIVER_ACCUM,), "executionId string, accumUpdates array<array<string>>")
+    """``[id, value]`` pairs; shorter ones, and elements that are no array, are skipped."""
+    # Each element is parsed on its own: one that is no array must not take the others with it.
+    rows = _parsed(events, (DRIVER_ACCUM,), "executionId string, accumUpdates array<string>")
     return (
         rows.select("log_id", "seq", lenient_long(F.col("e.executionId")).alias("execution_id"),
-                    F.posexplode("e.accumUpdates").alias("pos", "pair"))
+                    F.posexplode("e.accumUpdates").alias("pos", "element"))
+        .withColumn("pair", F.from_json(F.when(F.col("element").startswith("["), F.col("element")), "array<string>"))
         .where((F.size("pair") >= 2) & F.col("execution_id").isNotNull())
         .select("log_id", "seq", "pos", "execution_id",
                 F.coalesce(lenient_long(F.get("pair", F.lit(0))), F.lit(0)).alias("accumulator_id"),

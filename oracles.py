@@ -23,6 +23,10 @@ def _line_view(columns: Mapping[str, str], slot: int, where: str = "true") -> st
 
 _SQL_METADATA = "l_returnflag <> 'N' and l_partkey % 4 <> 0"
 
+def _zero(*names: str) -> str:
+    return ", ".join(f"coalesce({n}, 0) as {n}" for n in names)
+
+
 CTE: dict[str, str] = {
     "b": f"select *, {_cols(tb.LINE_BASE)}, 4 * row_number() over (order by l_orderkey, l_linenumber, l_partkey, "
          "cast(round(l_extendedprice * 100) as bigint)) as rn from lineitem",
@@ -49,6 +53,8 @@ CTE: dict[str, str] = {
     "extra": f"select {K}, count(*) filter (where speculative) as speculative_attempts, "
              "cast(coalesce(sum(duration_ms) filter (where speculative), 0) as bigint) as speculative_ms, "
              f"count(*) filter (where nth > 1) as duplicate_successes from ok group by {K}",
+    # Stage attempts of which a task ended, completed or not.
+    "tried": f"select distinct {K} from attempts where stage_id is not null",
     "broken": f"select {K}, count(*) as failed_attempts, cast(coalesce(sum(duration_ms), 0) as bigint) as failed_ms "
               f"from failed_tasks group by {K}",
     "reasons": f"select {K}, reason, min(seq) as first_seq from failed_tasks group by {K}, reason",
@@ -486,18 +492,20 @@ def oracle_sql() -> dict[str, str]:
         "task_count": w("select s.log_id, s.t + coalesce(l.n, 0) as tasks from (select log_id, sum(completed_tasks)::bigint as t "
                         "from stages group by all) s left join (select log_id, count(distinct task_id) as n from attempts where "
                         "success and (stage_id is null or task_index is null) group by all) l using (log_id)"),
-        "stage_duration_stats": w(f"select {K}, completed_tasks, duration_samples, duration_min_ms, duration_max_ms, "
-                                  f"duration_avg_ms from done {latest}"),
-        "stage_shuffle_stats": w(f"select {K}, shuffle_samples, shuffle_total_bytes, shuffle_max_bytes from done {latest}"),
-        "stage_spill_stats": w(f"select {K}, spill_samples, memory_total_bytes, disk_total_bytes, memory_max_bytes, "
-                               f"disk_max_bytes from done {latest}"),
+        "stage_duration_stats": w(f"select {K}, {_zero('completed_tasks', 'duration_samples')}, duration_min_ms, "
+                                  f"duration_max_ms, duration_avg_ms from tried left join done using ({K}) {latest}"),
+        "stage_shuffle_stats": w(f"select {K}, {_zero('shuffle_samples', 'shuffle_total_bytes')}, shuffle_max_bytes "
+                                 f"from tried left join done using ({K}) {latest}"),
+        "stage_spill_stats": w(f"select {K}, {_zero('spill_samples', 'memory_total_bytes', 'disk_total_bytes')}, "
+                               f"memory_max_bytes, disk_max_bytes from tried left join done using ({K}) {latest}"),
         "exact_median": w(f"select {K}, metric, median from stats"),
         "nearest_rank_percentile": w(f"select {K}, metric, p95, p99 from stats"),
         "sorted_samples": w(f"select {K}, metric, value, min(r) as first_rank, count(*) as n from ranked group by {K}, metric, value"),
         "failed_attempts": w("select s.log_id, s.stage_id, s.stage_attempt_id, failed_attempts, failed_ms, attempt_reasons, "
                              "all_failed_attempts, all_failed_ms, all_reasons from stages s"),
-        "speculative_attempts": w(f"select {K}, speculative_attempts, speculative_ms from extra {latest}"),
-        "duplicate_successes": w(f"select {K}, duplicate_successes from extra {latest}"),
+        "speculative_attempts": w(f"select {K}, {_zero('speculative_attempts', 'speculative_ms')} "
+                                  f"from tried left join extra using ({K}) {latest}"),
+        "duplicate_successes": w(f"select {K}, {_zero('duplicate_successes')} from tried left join extra using ({K}) {latest}"),
         "executor_summary": w(f"select {K}, worker_id, task_count, duration_ms, task_share, duration_share from workers "
                               f"{latest} where kind = 'executor'"),
         "host_summary": w(f"select {K}, worker_id, task_count, duration_ms, task_share, duration_share from workers "
