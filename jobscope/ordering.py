@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 SEQ_TYPE = "struct<part:bigint,file:string,block:bigint,line:bigint>"
 BUCKET_BITS = 12
+LINE_BITS = 14
 
 
 def make_seq(part: Column, file: Column, block: Column, line: Column) -> Column:
@@ -25,9 +26,13 @@ def make_seq(part: Column, file: Column, block: Column, line: Column) -> Column:
 
 
 def seq_bucket(seq: Column) -> Column:
-    """Splits of a file start far more than 2**12 bytes apart, so a bucket never spans two of them."""
+    """Splits of a file start far more than 2**12 bytes apart, so a bucket never spans two of them.
+
+    Compressed files are one split each; their lines are told apart by number.
+    """
     return F.struct(seq["part"].alias("part"), seq["file"].alias("file"),
-                    F.shiftright(seq["block"], BUCKET_BITS).alias("block"))
+                    F.shiftright(seq["block"], BUCKET_BITS).alias("block"),
+                    F.shiftright(seq["line"], LINE_BITS).alias("lines"))
 
 
 def number_rows(df: DataFrame, group: Sequence[str], bucket: Sequence[Column],

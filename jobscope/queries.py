@@ -340,10 +340,9 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
     """Stage totals from the line items read as a stream, drained."""
     schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
     lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(d)
-    target = scratch_path(spark, "totals")
-    query = ingest.stream_stage_totals(tb.attempts_of(lines), target, scratch_path(spark, "stream"))
-    query.awaitTermination()
-    return ingest.read_stage_totals(spark, target)
+    target, checkpoint = scratch_path(spark, "totals"), scratch_path(spark, "stream")
+    ingest.stream_stage_totals(tb.attempts_of(lines), target, checkpoint).awaitTermination()
+    return ingest.read_stage_totals(spark, target, checkpoint)
 
 
 def _graph_nodes(spark: SparkSession, d: str) -> DataFrame:

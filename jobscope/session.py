@@ -40,6 +40,9 @@ def shared_folder(spark: SparkSession) -> str:
     """
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="jobscope-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

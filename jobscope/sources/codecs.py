@@ -75,7 +75,7 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"path": path, "line": range(len(lines)), "value": lines})
 
 
-def decode_framed_files(files: DataFrame) -> DataFrame:
+def decode_framed_files(files: DataFrame, folder_is_log: bool = False) -> DataFrame:
     from jobscope.ordering import make_seq
     from jobscope.sources.eventlog import base_name, is_event_file, log_id_of_path, part_number
 
@@ -86,7 +86,7 @@ def decode_framed_files(files: DataFrame) -> DataFrame:
     )
     return (
         lines.where(F.col("value").rlike(r"\S"))
-        .select(log_id_of_path(F.col("path"), name).alias("log_id"),
+        .select(log_id_of_path(F.col("path"), name, folder_is_log).alias("log_id"),
                 make_seq(part_number(name), F.col("path"), F.lit(0), F.col("line")).alias("seq"),
                 "value")
     )

@@ -25,10 +25,13 @@ def is_framed_file(file_name: Column) -> Column:
     return F.lower(file_name).rlike("(" + "|".join(rf"\{s}" for s in FRAMED_SUFFIXES) + ")$")
 
 
-def log_id_of_path(file_path: Column, file_name: Column) -> Column:
-    """Rolling parts belong to the log named by their folder; any other file is a log of its own."""
+def log_id_of_path(file_path: Column, file_name: Column, folder_is_log: bool = False) -> Column:
+    """Rolling parts belong to the log named by their folder; any other file is a log of its own.
+
+    With ``folder_is_log`` all files of a folder are one log, in the order of their paths.
+    """
     folder = F.regexp_replace(file_path, r"/[^/]*$", "")
-    return F.when(file_name.rlike(ROLLING_NAME), folder).otherwise(file_path)
+    return folder if folder_is_log else F.when(file_name.rlike(ROLLING_NAME), folder).otherwise(file_path)
 
 
 def part_number(file_name: Column) -> Column:
@@ -39,7 +42,7 @@ def base_name(file_path: Column) -> Column:
     return F.regexp_extract(file_path, r"([^/]*)$", 1)
 
 
-def scan_event_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def scan_event_lines(spark: SparkSession, paths: str | list[str], folder_is_log: bool = False) -> DataFrame:
     """``(log_id, seq, value)`` for every non-blank line of every event file under ``paths``.
 
     Plain, gzip and zstd files go through the text source, which splits plain
@@ -47,15 +50,15 @@ def scan_event_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     a separate scan, one file per record.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    text = number_lines(spark.read.option("recursiveFileLookup", "true").text(paths))
+    text = number_lines(spark.read.option("recursiveFileLookup", "true").text(paths), folder_is_log)
     framed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*{" + ",".join(FRAMED_SUFFIXES) + "}").load(paths)
     )
-    return text.unionByName(decode_framed_files(framed))
+    return text.unionByName(decode_framed_files(framed, folder_is_log))
 
 
-def number_lines(text: DataFrame) -> DataFrame:
+def number_lines(text: DataFrame, folder_is_log: bool = False) -> DataFrame:
     """Attach log and order to the rows of a text scan; nothing may shuffle before this."""
     name = F.col("_metadata.file_name")
     path = F.col("_metadata.file_path")
@@ -63,7 +66,7 @@ def number_lines(text: DataFrame) -> DataFrame:
     return (
         text.where(is_event_file(name) & ~is_framed_file(name))
         .select(
-            log_id_of_path(path, name).alias("log_id"),
+            log_id_of_path(path, name, folder_is_log).alias("log_id"),
             make_seq(part_number(name), path, F.col("_metadata.file_block_start"), line).alias("seq"),
             "value")
         .where(F.col("value").rlike(r"\S"))

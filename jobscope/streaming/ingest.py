@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jobscope.operators.attempts import ATTEMPT, STAGE
+from jobscope.ordering import SEQ_TYPE
+from jobscope.sources.eventlog import base_name, is_event_file, scan_event_lines
 from jobscope.sources.events import recognise_events
-from jobscope.sources.eventlog import number_lines
 
 PARTIAL = ("attempts", "successes", "failures", "success_ms", "failed_ms", "speculative")
 
 
+def _run_folder(target: str, checkpoint: str) -> str:
+    """Batch numbers count from the checkpoint, so each checkpoint writes into a folder of its own."""
+    return f"{target}/run={hashlib.md5(checkpoint.encode()).hexdigest()}"
+
+
 def _append_once(path: str, transform: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """Write each micro-batch into a folder of its own, so a repeated batch replaces itself."""
 
@@ -24,18 +32,47 @@ def _append_once(path: str, transform: Callable[[DataFrame], DataFrame]) -> Call
     return write
 
 
-def stream_event_lines(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Append the recognised events of new rolling files to the event table at ``target``.
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
+
 
-    Order is taken from the file name and position, so it does not depend on
-    when a file is picked up.
+def stream_event_lines(spark: SparkSession, source: str, target: str, folder_is_log: bool = False) -> int:
+    """One micro-batch of ingest: the recognised events of files that are new or have grown; returns their number.
+
+    A streaming file source takes each path once and would miss lines appended to it later, and it reads framed files
+    as text.  So files are compared with those ingested before by path, length and time, and whatever changed goes
+    through the batch scan, framed files included.  The events of a file have a folder of their own, which is replaced
+    as a whole: a batch that is repeated after a failure changes nothing.  Order comes from file name and position.
     """
-    files = spark.readStream.option("recursiveFileLookup", "true").text(source).select("*", "_metadata")
-    return (
-        files.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
-        .foreachBatch(_append_once(target, lambda batch: recognise_events(number_lines(batch))))
-        .start()
-    )
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+               .select("path", "length", F.col("modificationTime").alias("modified")))  # contents are not read
+    known = _stored(spark, f"{target}/files", "path string, length bigint, modified timestamp")
+    changed = listing.where(is_event_file(base_name(F.col("path")))).join(known, ["path", "length", "modified"], "left_anti")
+    rows = changed.collect()  # as the listing itself, this is known to the driver
+    if not rows:
+        return 0
+    lines = scan_event_lines(spark, [r["path"] for r in rows], folder_is_log)
+    (recognise_events(lines).withColumn("file", F.hex(F.xxhash64("seq.file")))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(f"{target}/events"))
+    spark.createDataFrame(rows, listing.schema).write.mode("append").parquet(f"{target}/files")
+    return len(rows)
+
+
+def read_event_lines(spark: SparkSession, target: str) -> DataFrame:
+    """All events ingested so far."""
+    return _stored(spark, f"{target}/events", f"log_id string, seq {SEQ_TYPE}, event string, value string")
+
+
+def follow_event_lines(spark: SparkSession, source: str, target: str, interval: str = "1 minute") -> StreamingQuery:
+    """:func:`stream_event_lines` at every tick of a streaming query."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return (ticks.writeStream.trigger(processingTime=interval)
+            .foreachBatch(lambda batch, batch_id: stream_event_lines(spark, source, target) and None).start())
 
 
 def attempt_totals(attempts: DataFrame) -> DataFrame:
@@ -52,14 +89,14 @@ def stream_stage_totals(attempts: DataFrame, target: str, checkpoint: str) -> St
     """Keep partial counters per micro-batch; each batch shuffles only its own new attempts."""
     return (
         attempts.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
-        .foreachBatch(_append_once(target, attempt_totals)).start()
+        .foreachBatch(_append_once(_run_folder(target, checkpoint), attempt_totals)).start()
     )
 
 
-def read_stage_totals(spark: SparkSession, target: str) -> DataFrame:
-    """Counters of every stage attempt seen so far."""
+def read_stage_totals(spark: SparkSession, target: str, checkpoint: str) -> DataFrame:
+    """Counters of every stage attempt that the stream with this checkpoint has seen so far; none before its first batch."""
     schema = "log_id string, stage_id int, stage_attempt_id int, " + ", ".join(f"{c} bigint" for c in PARTIAL)
-    partial = spark.read.schema(schema).parquet(f"{target}/batch=*")
+    partial = _stored(spark, f"{_run_folder(target, checkpoint)}/batch=*", schema)
     return partial.groupBy(*ATTEMPT).agg(*[F.sum(c).alias(c) for c in PARTIAL])
 
 

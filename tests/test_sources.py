@@ -5,8 +5,11 @@ import struct
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from jobscope.operators.attempts import logical_tasks, stage_attempt_metrics
+from jobscope.ordering import make_seq
+from jobscope.plans.flatten import flatten_plans
 from jobscope.session import scratch_path
 from jobscope.sources import events as ev
 from jobscope.sources import tables as tb
@@ -101,18 +104,60 @@ def test_lines_and_tables_agree(spark, tmp_path):
 
 
 def test_stream_of_rolling_files(spark, tmp_path):
-    source, target, checkpoint = tmp_path / "in", str(tmp_path / "events"), str(tmp_path / "cp")
-    write_log(source / "eventlog_v2_a" / "events_2_a", [task(1, 1, attempt=1), completed(1, attempt=1)])
-    ingest.stream_event_lines(spark, str(source), target, checkpoint).awaitTermination()
+    source, target = tmp_path / "in", str(tmp_path / "events")
+    folder = source / "eventlog_v2_a"
+    late = [task(1, 1, attempt=1), completed(1, attempt=1)]
+    write_log(folder / "events_2_a", late)
+    assert ingest.stream_event_lines(spark, str(source), target) == 1
     # an earlier part and late events of an older attempt arrive afterwards
-    write_log(source / "eventlog_v2_a" / "events_1_a", [app_start(), task(1, 0, attempt=0), {"Event": "Other"}])
-    ingest.stream_event_lines(spark, str(source), target, checkpoint).awaitTermination()
-    stored = spark.read.parquet(target).orderBy("seq").collect()
-    assert [r["event"][13:] for r in stored] == ["ApplicationStart", "TaskEnd", "TaskEnd", "StageCompleted"]
-
-    schema = spark.read.parquet(f"{target}/batch=0").schema
-    stream = spark.readStream.schema(schema).parquet(f"{target}/batch=*")
-    totals = scratch_path(spark, "t")
-    ingest.stream_stage_totals(ev.task_attempts(stream), totals, str(tmp_path / "cp2")).awaitTermination()
-    latest = ingest.latest_totals(ingest.read_stage_totals(spark, totals)).collect()
-    assert [(r["stage_id"], r["stage_attempt_id"], r["attempts"]) for r in latest] == [(1, 1, 1)]
+    write_log(folder / "events_1_a", [app_start(), task(1, 0, attempt=0), {"Event": "Other"}])
+    assert ingest.stream_event_lines(spark, str(source), target) == 1
+    assert ingest.stream_event_lines(spark, str(source), target) == 0
+    # a part grows, and a framed one is added
+    write_log(folder / "events_2_a", [*late, task(1, 2, attempt=1)])
+    (folder / "events_3_a.lz4").write_bytes(lz4(text([task(1, 3, attempt=1), app_end()])))
+    assert ingest.stream_event_lines(spark, str(source), target) == 2
+    events = ingest.read_event_lines(spark, target)
+    stored = events.orderBy("seq").collect()
+    assert [r["event"][13:] for r in stored] == ["ApplicationStart", "TaskEnd", "TaskEnd", "StageCompleted", "TaskEnd",
+                                                 "TaskEnd", "ApplicationEnd"]
+    batch = ev.recognise_events(scan_event_lines(spark, str(source))).orderBy("seq").collect()
+    assert [(r["log_id"], r["value"]) for r in stored] == [(r["log_id"], r["value"]) for r in batch]
+
+    totals, checkpoint = scratch_path(spark, "t"), str(tmp_path / "cp2")
+    assert ingest.read_stage_totals(spark, totals, checkpoint).count() == 0
+    stream = (spark.readStream.schema(events.schema).option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", 1).parquet(f"{target}/events"))
+    ingest.stream_stage_totals(ev.task_attempts(stream), totals, checkpoint).awaitTermination()
+    latest = ingest.latest_totals(ingest.read_stage_totals(spark, totals, checkpoint)).collect()
+    assert [(r["stage_id"], r["stage_attempt_id"], r["attempts"]) for r in latest] == [(1, 1, 3)]
+    assert ingest.read_stage_totals(spark, totals, str(tmp_path / "other")).count() == 0
+
+
+def test_files_of_a_folder_as_one_log(spark, tmp_path):
+    write_log(tmp_path / "app" / "b.json", [task(1, 0)])
+    write_log(tmp_path / "app" / "a.json", [app_start()])
+    rows = scan_event_lines(spark, str(tmp_path), folder_is_log=True).orderBy("seq").collect()
+    assert len({r["log_id"] for r in rows}) == 1 and "ApplicationStart" in rows[0]["value"]
+    assert scan_event_lines(spark, str(tmp_path)).select("log_id").distinct().count() == 2
+
+
+def test_awkward_values(spark):
+    lines = [
+        ("a", '{"Event":"SparkListenerDriverAccumUpdates","executionId":1,"accumUpdates":[[1,2],[3],5,[4,6],null,"x"]}'),
+        ("b", '{"Event":"SparkListenerApplicationStart","Event":"SparkListenerApplicationStart"}'),
+        ("c", '{"Event":"SparkListenerApplicationStart"'), ("d", "5"), ("d", '{"Event":"SparkListenerApplicationEnd"}')]
+    rows = spark.createDataFrame(lines, "log_id string, value string").withColumn(
+        "seq", make_seq(F.lit(0), F.lit("f"), F.lit(0), F.monotonically_increasing_id()))
+    status = {r["log_id"]: r["status"] for r in ev.validate_logs(rows).collect()}
+    assert status == {"a": "ok", "b": "ok", "c": "corrupt", "d": "ok"}
+    pairs = ev.driver_accum_updates(ev.recognise_events(rows)).collect()
+    assert [(r["pos"], r["accumulator_id"], r["value"]) for r in pairs] == [(0, 1, "2"), (3, 4, "6")]
+
+
+def test_plans_that_are_no_trees(spark):
+    deep = '{"nodeName":"A","children":[' * 100_000 + "]}" * 100_000
+    plans = spark.createDataFrame([("a", 1, "abc"), ("a", 2, deep), ("a", 3, '{"nodeName":"A"}'), ("a", 4, "[1]")],
+                                  "log_id string, execution_id long, plan_json string")
+    got = {r["execution_id"]: [n["node_name"] for n in r["nodes"]] for r in flatten_plans(plans).collect()}
+    assert got == {1: [None], 3: ["A"], 4: [None]}
