@@ -24,6 +24,7 @@ from jobscope.ordering import number_rows, seq_bucket
 from jobscope.plans import flatten, graph, subtrees
 from jobscope.session import materialize, scratch_path
 from jobscope.sources import events as ev
+from jobscope.sources import listener_lines as ll
 from jobscope.sources import tables as tb
 from jobscope.streaming import ingest
 
@@ -345,6 +346,25 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
     return ingest.read_stage_totals(spark, target, checkpoint)
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of several kinds by log and event, through the event scan."""
+    return ll.read_back(spark, d, "application", "job", "stage", "sql").groupBy("log_id", "event").agg(
+        F.count(F.lit(1)).alias("lines"), F.countDistinct("seq").alias("places"))
+
+
+def _ingested(spark: SparkSession, d: str) -> DataFrame:
+    """Task attempts of lines that arrive in three batches of files."""
+    source, target = scratch_path(spark, "arrivals"), scratch_path(spark, "ingested")
+    lines = tb.task_lines(tb.attempts(spark, d)).select(
+        "log_id", F.pmod(F.xxhash64("value"), F.lit(3)).alias("arrival"), "value")
+    for arrival in range(3):
+        (lines.where(F.col("arrival") == arrival).select(F.col("log_id").alias("app"), "value")
+         .write.mode("append").partitionBy("app").text(source))
+        ingest.stream_event_lines(spark, source, target, folder_is_log=True)
+    events = ingest.read_event_lines(spark, target).withColumn("log_id", F.regexp_extract("log_id", ll.LOG_FOLDER, 1))
+    return ev.task_attempts(events).drop("seq")
+
+
 def _graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.plan_graph_nodes(tb.plans(spark, d), tb.plan_metric_values(spark, d))
 
@@ -366,9 +386,16 @@ QUERIES: dict[str, Query] = {
     "task_success": _task_success,
     "task_attempts": _parsed_attempts,
     "application_events": lambda s, d: jobs.applications(tb.application_events(s, d)),
-    "job_stage_map": lambda s, d: tb.job_stage_map(s, d).select("log_id", "stage_id", "execution_id"),
-    "driver_accum_updates": lambda s, d: tb.driver_accum_updates(s, d).select(*EXECUTION, "accumulator_id", "value"),
-    "stage_accumulables": lambda s, d: tb.stage_accumulables(s, d).select(*ATTEMPT, "accumulator_id", "value"),
+    "scan_event_lines": _scanned,
+    "parse_applications": lambda s, d: ev.application_events(ll.read_back(s, d, "application")).drop("seq"),
+    "job_events": lambda s, d: ev.job_events(ll.read_back(s, d, "job")).drop("seq"),
+    "job_stage_map": lambda s, d: ev.job_stage_map(ll.read_back(s, d, "job_stages")).drop("seq"),
+    "stage_events": lambda s, d: ev.stage_events(ll.read_back(s, d, "stage")).drop("seq"),
+    "stage_accumulables": lambda s, d: ev.stage_accumulables(ll.read_back(s, d, "accumulables")).drop("seq"),
+    "sql_execution_events": lambda s, d: ev.sql_execution_events(ll.read_back(s, d, "sql")).drop("seq"),
+    "driver_accum_updates": lambda s, d: ev.driver_accum_updates(ll.read_back(s, d, "driver")).drop("seq"),
+    "stream_event_lines": _ingested,
+    "late_attempt_rule": lambda s, d: ingest.latest_totals(_streamed(s, d)),
     "latest_stage_attempt": lambda s, d: _latest(s, d).select(*ATTEMPT),
     "stage_outcome": lambda s, d: at.stage_outcome(_latest(s, d), at.last_completion(tb.stage_events(s, d))),
     "stage_execution_asof": lambda s, d: _asof(s, d).drop("seq"),

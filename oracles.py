@@ -416,6 +416,45 @@ def human_millis(x: str) -> str:
 RECOMMENDATION_ID = "case type " + " ".join(f"when '{t}' then '{r}'" for t, r, _, _ in advise.ADVICE) + " end"
 
 
+_ITEM = "(select *, l_orderkey * 8 + l_linenumber as k, 'a' || (l_suppkey % 4) as log_id from lineitem)"
+#: What the parsers must read from the lines that each line item stands for.
+PARSED = {
+    "parse_applications": "select log_id, l_linenumber % 2 <> 0 as is_start, 'app_' || k as app_id, "
+                          "case when l_partkey % 3 > 0 then 'n' || k end as app_name, "
+                          "case l_linenumber % 4 when 2 then 0 when 3 then null else l_partkey end::bigint as time_ms "
+                          f"from {_ITEM}",
+    "job_events": "select log_id, case when l_linenumber % 2 = 0 then 'end' else 'start' end as kind, "
+                  "l_orderkey::int as job_id, case when l_linenumber % 2 = 0 then case l_partkey % 3 when 1 then 'JobSucceeded' "
+                  f"when 2 then 'JobFailed' end end as result from {_ITEM} where l_partkey % 5 > 0",
+    "job_stage_map": "select log_id, l_orderkey as execution_id, unnest(list_distinct([l_partkey, l_suppkey] || "
+                     "case when l_linenumber = 7 then []::bigint[] else [l_partkey + 1] end))::int as stage_id "
+                     f"from {_ITEM} where l_linenumber % 3 = 1",
+    "stage_events": "select log_id, case when l_linenumber % 2 = 0 then 'completed' else 'submitted' end as kind, "
+                    "l_orderkey::int as stage_id, (l_partkey % 2)::int as stage_attempt_id, 's \"' || k || '\"' as stage_name, "
+                    "l_partkey::int as num_tasks, case when l_partkey % 3 = 0 then 'lost' end as failure_reason "
+                    f"from {_ITEM} where l_partkey % 7 > 0",
+    "stage_accumulables": "select log_id, v.pos::int as pos, l_orderkey::int as stage_id, 0::int as stage_attempt_id, "
+                          "case v.pos when 0 then l_partkey else l_suppkey end as accumulator_id, "
+                          "(case v.pos when 0 then l_suppkey else l_partkey end)::varchar as value "
+                          f"from {_ITEM}, (values (0), (2)) v(pos)",
+    "sql_execution_events": "select log_id, case l_linenumber % 4 when 0 then 'start' when 1 then 'update' when 2 then 'end' "
+                            "else 'accumulators' end as kind, l_orderkey as execution_id, null::bigint as root_execution_id, "
+                            "'d' || k as description, null::varchar as details, l_partkey as time_ms, "
+                            "null::varchar as plan_description, null::varchar as plan_json, "
+                            f"case when l_partkey % 2 = 0 then '' end as error_message from {_ITEM} where l_partkey % 5 > 0",
+    "driver_accum_updates": "select log_id, v.pos::int as pos, l_orderkey as execution_id, "
+                            "case v.pos when 0 then l_partkey when 3 then 0 else l_suppkey end::bigint as accumulator_id, "
+                            "case v.pos when 0 then l_suppkey::varchar when 3 then 'y' else l_partkey::varchar end as value "
+                            f"from {_ITEM}, (values (0), (3), (5)) v(pos)",
+    "scan_event_lines": "select log_id, event, count(*) as lines, count(*) as places from (select log_id, 'SparkListener' || unnest(["
+                        "case when l_linenumber % 2 = 0 then 'ApplicationEnd' else 'ApplicationStart' end, "
+                        "case when l_linenumber % 2 = 0 then 'JobEnd' else 'JobStart' end, "
+                        "case when l_linenumber % 2 = 0 then 'StageCompleted' else 'StageSubmitted' end, "
+                        "case l_linenumber % 4 when 0 then 'SQLExecutionStart' when 1 then 'SQLAdaptiveExecutionUpdate' "
+                        f"when 2 then 'SQLExecutionEnd' else 'DriverAccumUpdates' end]) as event from {_ITEM}) group by all",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     w = with_ctes
     latest = "join latest l using (log_id, stage_id, stage_attempt_id)"
@@ -436,9 +475,6 @@ def oracle_sql() -> dict[str, str]:
         "task_attempts": w(f"select {K}, task_index, task_id, success, reason, speculative, duration_ms, shuffle_read_bytes, "
                            "memory_bytes_spilled, disk_bytes_spilled, executor_id, host from attempts"),
         "task_success": w("select log_id, success, reason, count(*) as n from attempts group by all"),
-        "job_stage_map": w("select log_id, stage_id, execution_id from job_stages"),
-        "driver_accum_updates": w("select log_id, execution_id, accumulator_id, value from driver_values"),
-        "stage_accumulables": w("select log_id, stage_id, stage_attempt_id, accumulator_id, value from stage_values"),
         "application_events": w(
             "select g.log_id, s.app_id, s.app_name, s.time_ms as start_ms, e.time_ms as end_ms, "
             "e.time_ms - s.time_ms as duration_ms from (select log_id, max(seq) filter (where is_start) as started, "
@@ -592,6 +628,11 @@ def oracle_sql() -> dict[str, str]:
             "coalesce(sum(duration_ms) filter (where not success), 0)::bigint as failed_ms, "
             f"count(*) filter (where success and speculative) as speculative from attempts where stage_id is not null group by {K}"),
     }
+    totals = sql["stream_stage_totals"]
+    sql["late_attempt_rule"] = (f"select * from ({totals}) qualify stage_attempt_id = max(stage_attempt_id) "
+                                "over (partition by log_id, stage_id)")
+    sql["stream_event_lines"] = sql["task_attempts"]
+    sql |= PARSED
     for name in STAGE_RULES:
         sql[f"rule_{name}"] = stage_rule_sql(name)
     for name, (body, *_rest) in PLAN_RULES.items():
