@@ -75,6 +75,9 @@ def analyze(lines: DataFrame, *, limits: Limits = DEFAULT_LIMITS, extra_rules: l
     summary = jobs.summary_counts(
         events.select("log_id"), job_table, stage_table, at.tasks_without_stage(attempts), found)
     apps = jobs.applications(ev.application_events(events))
+    of_latest = latest.select(*at.ATTEMPT)
+    workers = worker_summary(worker_totals(tasks), metrics).join(of_latest, [*at.ATTEMPT], "left_semi")
+    samples = sorted_samples(value_counts(tasks)).join(of_latest, [*at.ATTEMPT], "left_semi")
     return {
         "log_validation": validation,
         "applications": apps,
@@ -82,8 +85,8 @@ def analyze(lines: DataFrame, *, limits: Limits = DEFAULT_LIMITS, extra_rules: l
         "jobs": job_table,
         "failed_jobs": failed,
         "stages": stage_table,
-        "workers": worker_summary(worker_totals(tasks), metrics).join(latest.select(*at.ATTEMPT), [*at.ATTEMPT], "left_semi"),
-        "samples": sorted_samples(value_counts(tasks)).join(latest.select(*at.ATTEMPT), [*at.ATTEMPT], "left_semi"),
+        "workers": workers,
+        "samples": samples,
         "sql_executions": executions,
         "sql_metric_values": values,
         "operator_counts": counts,
@@ -95,7 +98,9 @@ def analyze(lines: DataFrame, *, limits: Limits = DEFAULT_LIMITS, extra_rules: l
         "severity_counts": fd.severity_counts(found),
         "top_findings": fd.top_findings(found),
         "hotspots": fd.stage_hotspots(fd.hotspot_inputs(stage_table, found)),
-        "report": report.report_rows(apps, summary, stage_table, executions, counts, failed, found, advice),
+        "report": report.report_rows(apps, summary, stage_table, executions, counts, failed, found, advice,
+                                     workers, samples),
+        "recommendation_report": report.recommendation_report(advice, found),
         "sql_report": report.sql_execution_report(
             executions, counts, sqlexec.operator_categories(counts), duplicates),
     }

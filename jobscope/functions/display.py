@@ -102,10 +102,13 @@ def sql_status(error_message: Column, end_time: Column) -> Column:
             .when(end_time.isNull(), F.lit("unknown")).otherwise(F.lit("success")))
 
 
-def evidence_display(key: Column, value: Column) -> Column:
-    """Evidence value as text: lists joined, byte and millisecond figures also in readable units."""
-    items = F.from_json(F.when(value.startswith("["), value), "array<string>")
-    number = value.try_cast("double").try_cast("bigint")
+def evidence_display(key: Column, value: Column, kind: Column) -> Column:
+    """Evidence value as text: lists joined, byte and millisecond figures also in readable units.
+
+    ``kind`` is the value's variant type; a text stays as it is, whatever it looks like.
+    """
+    items = F.from_json(F.when(kind.startswith("ARRAY"), value), "array<string>")
+    number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), value).try_cast("double").try_cast("bigint")
     return (
         F.when(value.isNull(), F.lit("null"))
         .when(items.isNotNull(), F.array_join(items, ", "))

@@ -130,6 +130,9 @@ def stage_hotspots(inputs: DataFrame, limit: int = TOP_HOTSPOTS) -> DataFrame:
 
 
 def evidence_rows(findings: DataFrame, *keys: str) -> DataFrame:
-    """One row per evidence entry with its display text."""
-    entries = F.explode(F.from_json("evidence", "map<string,string>")).alias("key", "value")
-    return findings.select(*keys, entries).withColumn("display", evidence_display(F.col("key"), F.col("value")))
+    """One row per evidence entry with its display text; what an entry is (list, number, text) is kept from the JSON."""
+    entries = findings.sparkSession.tvf.variant_explode(F.parse_json(F.col("evidence").outer())).select(
+        "key", F.schema_of_variant("value").alias("kind"))
+    text = F.element_at(F.from_json("evidence", "map<string,string>"), F.col("key"))
+    return (findings.lateralJoin(entries).select(*keys, "key", text.alias("value"), "kind")
+            .withColumn("display", evidence_display(F.col("key"), F.col("value"), F.col("kind"))).drop("kind"))

@@ -13,6 +13,9 @@ from jobscope.plans.subtrees import duplicate_rank
 
 SCHEMA_VERSION = "1"
 PRODUCER = "jobscope"
+SAMPLE_SECTIONS = {
+    "duration_ms": "taskDurationMillis", "shuffle_read_bytes": "taskShuffleReadBytes",
+    "memory_bytes_spilled": "taskMemoryBytesSpilled", "disk_bytes_spilled": "taskDiskBytesSpilled"}
 
 
 def stage_document(stages: DataFrame) -> DataFrame:
@@ -47,9 +50,12 @@ def _section(df: DataFrame, name: str, position: Column, *fields: Column | str)
 
 def report_rows(applications: DataFrame, summary: DataFrame, stages: DataFrame, executions: DataFrame,
                 operator_counts: DataFrame, failed_jobs: DataFrame, findings: DataFrame,
-                recommendations: DataFrame) -> DataFrame:
+                recommendations: DataFrame, workers: DataFrame | None = None,
+                samples: DataFrame | None = None) -> DataFrame:
     """The whole report, one row per object.
 
+    The executors, hosts and samples of a stage are rows of their own too, positioned by the stage.
+
     A log's report can hold any number of stages and findings, so it is kept as
     rows with their section and never gathered into one value.
     """
@@ -91,6 +97,16 @@ def report_rows(applications: DataFrame, summary: DataFrame, stages: DataFrame,
                  "title", "description", c("type").alias("relatedBottleneckType"), c("stage_id").alias("stageId"),
                  c("related_id").alias("relatedBottleneckId")),
     ]
+    if workers is not None:
+        parts += [_section(workers.where(c("kind") == kind), section, c("stage_id"), c("stage_id").alias("stageId"),
+                           c("worker_id").alias(label), c("task_count").alias("taskCount"),
+                           c("duration_ms").alias("durationMillis"), c("task_share").alias("taskShare"),
+                           c("duration_share").alias("durationShare"))
+                  for kind, section, label in (("executor", "executorSummaries", "executorId"), ("host", "hostSummaries", "host"))]
+    if samples is not None:
+        parts += [_section(samples.where(c("metric") == metric), section, c("stage_id"), c("stage_id").alias("stageId"),
+                           c("value"), c("first_rank").alias("firstRank"), c("n").alias("count"))
+                  for metric, section in SAMPLE_SECTIONS.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -98,10 +114,12 @@ def report_rows(applications: DataFrame, summary: DataFrame, stages: DataFrame,
 
 
 def recommendation_report(recommendations: DataFrame, findings: DataFrame) -> DataFrame:
-    """Recommendations with their scope and one row per evidence entry, in key order."""
-    entries = evidence_rows(findings, "log_id", "instance_id", "execution_id")
+    """Recommendations with their scope and one row per evidence entry; one row without an entry if there is none."""
+    named = findings.withColumnRenamed("instance_id", "related_id")
+    entries = evidence_rows(named, "log_id", "related_id")
     return (
-        recommendations.join(entries.withColumnRenamed("instance_id", "related_id"), ["log_id", "related_id"])
+        recommendations.join(named.select("log_id", "related_id", "execution_id"), ["log_id", "related_id"])
+        .join(entries, ["log_id", "related_id"], "left")
         .select("log_id", "position", "title", "severity",
                 scope_text(F.col("stage_id"), F.col("execution_id")).alias("scope"),
                 F.col("type").alias("related_type"), F.col("key").alias("evidence_key"),
