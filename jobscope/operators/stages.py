@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +13,14 @@ from jobscope.operators.attempts import ATTEMPT, STAGE
 
 
 def stages(attempts: DataFrame, stage_events: DataFrame | None = None, *,
-           tasks: DataFrame | None = None, statistics: bool = True, spread: bool = True,
+           tasks: DataFrame | None = None, statistics: Sequence[str] = order_stats.SAMPLES, spread: bool = True,
            reasons: bool = True) -> DataFrame:
     """Everything the stage rules and reports read.
 
     Every input is first reduced to one row per stage attempt, so the joins are
     between tables of that size and share one partitioning.  ``tasks`` may hand
-    in an already stored ``logical_tasks`` table.
+    in an already stored ``logical_tasks`` table; ``statistics`` names the
+    samples whose median and percentiles are wanted.
     """
     tasks = at.logical_tasks(attempts) if tasks is None else tasks
     metrics = at.stage_attempt_metrics(tasks, first_seen=True)
@@ -30,7 +33,7 @@ def stages(attempts: DataFrame, stage_events: DataFrame | None = None, *,
         wide = folded.join(metrics, [*ATTEMPT], "full").withColumn(
             "first_seq", F.least("first_seq", "_event_seq")).drop("_event_seq")
     if statistics:
-        stats = order_stats.order_statistics(order_stats.value_counts(tasks))
+        stats = order_stats.order_statistics(order_stats.value_counts(tasks, statistics))
         wide = wide.join(order_stats.statistics_by_attempt(stats), [*ATTEMPT], "left")
     if spread:
         summary = workers.worker_summary(workers.worker_totals(tasks), at.stage_attempt_metrics(tasks))

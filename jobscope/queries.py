@@ -66,7 +66,7 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
     return order_stats.value_counts(_tasks(spark, d))
 
 
-def _stages(spark: SparkSession, d: str, **parts: bool) -> DataFrame:
+def _stages(spark: SparkSession, d: str, **parts: object) -> DataFrame:
     return stages(tb.attempts(spark, d), tb.stage_events(spark, d), **parts)
 
 
@@ -124,8 +124,9 @@ def _replay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rule(name: str) -> Query:
-    ranked = name in {"shuffle_partition_skew", "oversized_shuffle_partitions", "memory_spill_skew", "disk_spill_skew",
-                      "too_many_tiny_tasks"}
+    ranked = {"shuffle_partition_skew": "shuffle_read_bytes", "oversized_shuffle_partitions": "shuffle_read_bytes",
+              "memory_spill_skew": "memory_bytes_spilled", "disk_spill_skew": "disk_bytes_spilled",
+              "too_many_tiny_tasks": "duration_ms"}.get(name)
     spread = name in {"executor_imbalance", "host_imbalance"}
     why = name in {"retry_waste", "failed_stage"}
 
@@ -135,7 +136,7 @@ def _rule(name: str) -> Query:
             return rules.apply_rule(rule, _signals(spark, d))
         if rule.source == "failed_jobs":
             return rules.apply_rule(rule, jobs.failed_jobs(_jobs(spark, d)))
-        return rules.apply_rule(rule, _stages(spark, d, statistics=ranked, spread=spread, reasons=why))
+        return rules.apply_rule(rule, _stages(spark, d, statistics=(ranked,) if ranked else (), spread=spread, reasons=why))
 
     return run
 
@@ -244,7 +245,7 @@ def _worker_query(kind: str) -> Query:
 
 
 def _failed_attempts(spark: SparkSession, d: str) -> DataFrame:
-    return _stages(spark, d, statistics=False, spread=False).select(
+    return _stages(spark, d, statistics=(), spread=False).select(
         *ATTEMPT, "failed_attempts", "failed_ms", "attempt_reasons", "all_failed_attempts", "all_failed_ms", "all_reasons")
 
 
