@@ -416,6 +416,28 @@ def human_millis(x: str) -> str:
 RECOMMENDATION_ID = "case type " + " ".join(f"when '{t}' then '{r}'" for t, r, _, _ in advise.ADVICE) + " end"
 
 
+_METRIC_VALUES = (
+    "select m.*, v.value from (select log_id, execution_id, 3 * i + 2 as ord, pos, metric_name, acc as accumulator_id, "
+    "metric_type from branches, (values (0, 'data size', 10, 'size'), (1, null, 7, 'sum'), "
+    "(2, 'shuffle write time', 7, 'nsTiming'), (3, 'fetch wait time', 6, 'timing'), (4, 'records', 5, 'sum'), "
+    "(5, 'spill size', 4, 'size'), (6, 'peak memory', 3, 'size')) as t(pos, metric_name, modulus, metric_type), "
+    "lateral (select k % modulus as acc)) m left join plan_values v using (log_id, execution_id, accumulator_id)")
+
+_NUMBER = "try_cast(case when regexp_full_match(value, '[+-]?[0-9]+') then value end as bigint)"
+
+
+def _sized(unit: int, label: str) -> str:
+    return (f"when {_NUMBER} >= {unit} then case when {_NUMBER} % {unit} = 0 then format('{{:,}} {label}', {_NUMBER} // {unit}) "
+            f"else format('{{:,.1f}} {label}', {_NUMBER} / {unit}::double) end ")
+
+
+_METRIC_LABEL = (
+    f"metric_name || coalesce(': ' || case when {_NUMBER} is null then value when metric_type = 'size' then case "
+    + _sized(GIB, "GiB") + _sized(MIB, "MiB") + _sized(1024, "KiB")
+    + f"else format('{{:,}} B', {_NUMBER}) end when metric_type = 'timing' then format('{{:,}} ms', {_NUMBER}) "
+    f"when metric_type = 'nsTiming' then format('{{:,}} ns', {_NUMBER}) else format('{{:,}}', {_NUMBER}) end, '')")
+
+
 _ITEM = "(select *, l_orderkey * 8 + l_linenumber as k, 'a' || (l_suppkey % 4) as log_id from lineitem)"
 #: What the parsers must read from the lines that each line item stands for.
 PARSED = {
@@ -487,12 +509,7 @@ def oracle_sql() -> dict[str, str]:
         "sql_metric_values": w("select log_id, execution_id, accumulator_id, arg_max(value, seq) as value from replay group by all"),
         "accumulator_union": w("select source, accumulator_id, count(*) as n from (select 'driver' as source, accumulator_id "
                                "from driver_values union all select 'stage', accumulator_id from stage_values) group by all"),
-        "metric_lookup": w(
-            "select m.*, v.value from (select log_id, execution_id, 3 * i + 2 as ord, pos, metric_name, acc as accumulator_id, "
-            "metric_type from branches, (values (0, 'data size', 10, 'size'), (1, null, 7, 'sum'), "
-            "(2, 'shuffle write time', 7, 'nsTiming'), (3, 'fetch wait time', 6, 'timing'), (4, 'records', 5, 'sum'), "
-            "(5, 'spill size', 4, 'size'), (6, 'peak memory', 3, 'size')) as t(pos, metric_name, modulus, metric_type), "
-            "lateral (select k % modulus as acc)) m left join plan_values v using (log_id, execution_id, accumulator_id)"),
+        "metric_lookup": w(_METRIC_VALUES),
         "suppress_duplicates": findings_sql(
             "select log_id, type, stage_id, execution_id from findings where type in "
             "('duplicate_sql_subtree', 'possible_missed_exchange_reuse')"),
@@ -607,6 +624,14 @@ def oracle_sql() -> dict[str, str]:
         "plan_graph_edges": w("select n.log_id, n.execution_id, 'n' || (select max(p.ord) from nodes p where "
                               "p.execution_id = n.execution_id and p.ord < n.ord and p.depth = n.depth - 1) as parent, "
                               "'n' || n.ord as child from nodes n where n.ord > 0"),
+        # Six of a node's seven metrics have a name; five are shown.
+        "plan_graph_nodes": w(
+            "select n.log_id, n.execution_id, 'n' || n.ord as node, n.node_name as name, "
+            "case when n.simple_string <> n.node_name then n.simple_string end as detail, coalesce(l.labels, '') as labels "
+            "from nodes n left join (select log_id, execution_id, ord, string_agg(label, ',' order by pos) || ',+2 more metrics' "
+            f"as labels from (select log_id, execution_id, ord, pos, {_METRIC_LABEL} as label from ({_METRIC_VALUES}) "
+            "where metric_name is not null qualify row_number() over (partition by log_id, execution_id, ord order by pos) <= 5) "
+            "group by log_id, execution_id, ord) l using (log_id, execution_id, ord)"),
         "evidence_rows": with_ctes(_evidence_body(), ("figures", _evidence_figures())),
         "recommendation_text": with_ctes(_text_body(), *[("spoken", _text_parts())]),
         "sql_execution_report": w(
