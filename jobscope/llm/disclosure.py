@@ -79,29 +79,34 @@ def base_spans(texts: DataFrame) -> DataFrame:
                     F.array_distinct(F.concat("before", "after")).alias("near")))
 
 
-def disclosing_terms(texts: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Terms (``term, share``) that reveal an entity, and where they occur (``digest, term``).
+def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``digest, term`` for each row of ``texts`` and each of ``terms`` (h, term) that it holds, once a row."""
+    if terms.count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+    words = F.transform(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.xxhash64(w))
+    return texts.select("digest", F.explode(words).alias("h")).join(terms, "h").select("digest", "term")
+
 
-    Counted over distinct texts: ``share`` is the pointwise mutual information of term and entity over the entity's
-    information content, the greatest of all entities.
+def disclosing_terms(texts: DataFrame, base: DataFrame) -> DataFrame:
+    """``h, term, share``: terms that reveal an entity.
+
+    ``share`` is the pointwise mutual information of term and entity over the entity's information content, the
+    greatest of all entities, counted over all documents.  That a term stands near an entity must be seen in
+    ``SUPPORT`` different texts; copies of one text don't add to that.
     """
-    near = base.select("digest", "entity", F.explode("near").alias("term")).distinct()
-    together = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= SUPPORT)
-    together = store(together.withColumn("h", F.xxhash64("term")), "together")
-    alone = base.select("digest", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entities"))
-    total = texts.select("digest").distinct().count()
-    candidates = together.select("h", "term").distinct()
-    if candidates.count() <= BROADCAST_TERMS:
-        candidates = F.broadcast(candidates)
-    words = F.transform(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.xxhash64(w))
-    hits = store(texts.select("digest", F.explode(words).alias("h")).join(candidates, "h")
-                 .select("digest", "term").distinct(), "hits")
-    spread = hits.groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
-    content = F.log2(F.lit(float(max(total, 1))) / F.col("entities"))
-    shared = F.log2(F.lit(float(max(total, 1))) * F.col("both") / (F.col("entities") * F.col("texts")))
-    terms = (together.join(alone, "entity").join(spread, "term").filter(content > 0)
-             .groupBy("term").agg(F.max(shared / content).alias("share")).filter(F.col("share") >= GENERALISE))
-    return store(terms, "terms"), hits
+    copies = store(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    counted = store(base.select("digest", "entity", "near").join(copies, "digest"), "counted")
+    near = counted.select("digest", "copies", "entity", F.explode("near").alias("term")).distinct()
+    together = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both"))
+    together = store(together.filter(F.col("texts") >= SUPPORT).drop("texts").withColumn("h", F.xxhash64("term")), "together")
+    alone = counted.select("digest", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("entities"))
+    total = F.lit(float(copies.agg(F.sum("copies")).first()[0] or 1))
+    spread = occurrences(texts, together.select("h", "term").distinct()).groupBy("term").agg(F.count(F.lit(1)).alias("held"))
+    content = F.log2(total / F.col("entities"))
+    shared = F.log2(total * F.col("both") / (F.col("entities") * F.col("held")))
+    return store(together.join(alone, "entity").join(spread, "term").filter(content > 0)
+                 .groupBy("h", "term").agg(F.max(shared / content).alias("share"))
+                 .filter(F.col("share") >= GENERALISE), "terms")
 
 
 def scan_personal(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,11 +121,11 @@ def scan_personal(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = docs.select(F.col(key).alias("key"), whole(text).alias("text"))
     texts = rows.select(text_key().alias("digest"), "text")
     base = store(base_spans(texts), "base-spans")
-    terms, hits = disclosing_terms(texts, base)
-    own = store(hits.join(terms, "term").groupBy("digest").agg(
-        F.array_sort(F.collect_list(F.struct("term", "share"))).alias("own")), "own-terms")
-    # Longer terms first is not needed: a match must end where its letters end.
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("own", lambda x: x["term"]), "|"),
+    terms = disclosing_terms(texts, base)
+    own = store(occurrences(texts, terms.select("h", "term")).groupBy("digest").agg(
+        F.array_sort(F.collect_set("term")).alias("own")), "own-terms")
+    # The order of terms is of no matter: a match must end where its letters end.
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("own", "|"),
                        F.lit(r")(?!\p{L})"))
     marked = located(texts.join(own, "digest").withColumn("pattern", pattern), ["digest"], {"term": F.col("pattern")})
     marked = marked.join(terms.select(F.col("term").alias("_term"), "share"), F.lower("value") == F.col("_term"), "left") \
