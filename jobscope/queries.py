@@ -335,7 +335,7 @@ def _flattened(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _audit(spark: SparkSession, d: str) -> DataFrame:
-    return sanitize.line_violations(tb.scrub_lines(spark, d), ["doc_id"], check_json=False)
+    return sanitize.line_violations(tb.audit_lines(spark, d), ["doc_id"], forbidden=("project-x",))
 
 
 def _streamed(spark: SparkSession, d: str) -> DataFrame:
@@ -387,6 +387,7 @@ QUERIES: dict[str, Query] = {
     "task_success": _task_success,
     "task_attempts": _parsed_attempts,
     "application_events": lambda s, d: jobs.applications(tb.application_events(s, d)),
+    "audit_application_starts": lambda s, d: sanitize.application_start_violations(tb.mixed_lines(s, d)),
     "scan_event_lines": _scanned,
     "parse_applications": lambda s, d: ev.application_events(ll.read_back(s, d, "application")).drop("seq"),
     "job_events": lambda s, d: ev.job_events(ll.read_back(s, d, "job")).drop("seq"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobscope.operators.sanitize import USER
 from jobscope.ordering import make_seq
 from jobscope.plans.flatten import NODE_TYPE
 from jobscope.sources import events as ev
@@ -316,5 +317,18 @@ SCRUB_LINES = {
 }
 
 
+# The same, with clean JSON lines and JSON lines that name a user among them.
+AUDIT_LINES = {
+    "doc_id": "doc_id",
+    "value": "case doc_id % 4 when 0 then concat('{\"User\":\"{user}\",\"note\":\"doc ', doc_id, ' at 8.8.8.8\"}') "
+             "when 1 then concat('{\"User\":\"u', doc_id, '\",\"note\":\"project-x\"}') else " + SCRUB_LINES["value"] + " end",
+}
+
+
+def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = {n: e.replace("{user}", USER).replace("{", "{{").replace("}", "}}") for n, e in AUDIT_LINES.items()}
+    return _project(_table(spark, sf_dir, "documents"), columns)
+
+
 def scrub_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _project(_table(spark, sf_dir, "documents"), SCRUB_LINES)

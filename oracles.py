@@ -647,6 +647,9 @@ def oracle_sql() -> dict[str, str]:
             "using (log_id, execution_id)"),
         "sanitize_events": _sanitize_sql(),
         "sanitize_audit": _audit_sql(),
+        "audit_application_starts":
+            "select concat('app-', o_custkey) as log_id, 'application starts: ' || count(*) filter (where o_orderstatus = 'O') "
+            "as violation from orders group by o_custkey having count(*) filter (where o_orderstatus = 'O') <> 1",
         "stream_stage_totals": w(
             f"select {K}, count(*) as attempts, count(*) filter (where success) as successes, count(*) filter (where not success) "
             "as failures, coalesce(sum(duration_ms) filter (where success), 0)::bigint as success_ms, "
@@ -728,7 +731,10 @@ def _sanitize_sql() -> str:
 def _audit_sql() -> str:
     hit = f"(?:^|[^{_WORD}.-])({_PRIVATE})(?:$|[^{_WORD}.-])"
     spaced = f"regexp_replace(value, '([^{_WORD}.-])', '\\1\\1', 'g')"
+    raw = "(select * from documents where doc_id % 4 > 1)"
     return (f"select doc_id, 'private IP address: ' || a as violation from (select doc_id, "
-            f"unnest(regexp_extract_all({spaced}, '{hit}', 1)) as a from {_SCRUB}) union all "
-            f"select doc_id, 'private IP address: fd00::' || doc_id % 10000 from documents union all "
-            "select doc_id, unnest(['macOS user path', 'Linux user path', 'Cellar path']) from documents")
+            f"unnest(regexp_extract_all({spaced}, '{hit}', 1)) as a from {_SCRUB} where doc_id % 4 > 1) union all "
+            f"select doc_id, 'private IP address: fd00::' || doc_id % 10000 from {raw} union all "
+            "select doc_id, unnest(['macOS user path', 'Linux user path', 'Cellar path', 'not valid JSON', "
+            f"'unsanitised user field']) from {raw} union all "
+            "select doc_id, unnest(['forbidden value: project-x', 'unsanitised user field']) from documents where doc_id % 4 = 1")
