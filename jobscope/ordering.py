@@ -28,11 +28,13 @@ def make_seq(part: Column, file: Column, block: Column, line: Column) -> Column:
 def seq_bucket(seq: Column) -> Column:
     """Splits of a file start far more than 2**12 bytes apart, so a bucket never spans two of them.
 
-    Compressed files are one split each; their lines are told apart by number.
+    A compressed file is one split, which begins at 0; its lines are told apart by number, and come before any others
+    of their bucket.
     """
     return F.struct(seq["part"].alias("part"), seq["file"].alias("file"),
                     F.shiftright(seq["block"], BUCKET_BITS).alias("block"),
-                    F.shiftright(seq["line"], LINE_BITS).alias("lines"))
+                    F.when(seq["block"] == 0, F.shiftright(seq["line"], LINE_BITS)).otherwise(F.lit((1 << 63) - 1))
+                    .alias("lines"))
 
 
 def number_rows(df: DataFrame, group: Sequence[str], bucket: Sequence[Column],

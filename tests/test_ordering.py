@@ -98,3 +98,11 @@ def test_instance_ids(spark):
             want.append(g)
         assert [got[log][i] for i in range(len(gs))] == want
     assert duplicate_instance_ids(out).count() == 0
+
+
+def test_buckets_follow_the_order(spark):
+    rows = [(b, n) for b in (0, 1, 4000, 5000) for n in (0, 5, 20_000, 100_000)]
+    df = spark.createDataFrame(rows, "block long, line long").select(
+        make_seq(F.lit(1), F.lit("f"), F.col("block"), F.col("line")).alias("seq"))
+    buckets = [r["b"] for r in df.orderBy("seq").select(seq_bucket(F.col("seq")).alias("b")).collect()]
+    assert buckets == sorted(buckets) and len(set(buckets)) > 4
