@@ -4,7 +4,7 @@ A tree cuts the 64 bits into disjoint blocks, one for each level.  A level holds
 node keeps fingerprints within its radius of the pattern inside and the others outside.  A query that lies ``c`` steps
 from the boundary cannot reach a partner across it with fewer than ``c`` differing bits in that block, and as blocks
 are disjoint these costs add up along a path: a branch is pruned once they exceed the distance asked for.  Every
-fingerprint is kept in one shard (leaf) and asked in each shard that its path can still reach, so no pair is missed.
+fingerprint is kept in one shard (leaf) and asked in the shards that its path can still reach, so no pair is missed.
 """
 
 from __future__ import annotations
@@ -98,16 +98,22 @@ class VantageTree:
         return VantageTree(masks, points, radii)
 
     def shards(self, fps: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index into ``fps``, shard) of every shard that holds all within ``reach`` of a fingerprint; 0: its own."""
+        """(index into ``fps``, shard) of every shard in which a fingerprint is asked for; with a reach of -1, its own.
+
+        Of two fingerprints that a node parts, the outer one crosses to the inner one's side, and from there on to
+        both sides; the inner one need not cross, since each pair has to meet but once.
+        """
         index, node = np.arange(len(fps)), np.zeros(len(fps), dtype=np.int64)
+        home = np.ones(len(fps), dtype=bool)
         left = np.full(len(fps), reach, dtype=np.int64)
         for mask, point, radii in zip(self.masks, self.points, self.radii):
             away = np.bitwise_count((fps[index] & np.uint64(mask)) ^ np.uint64(point)).astype(np.int64)
             radius = radii[node]
             outside = away > radius
             cost = np.where(outside, away - radius, radius + 1 - away)
-            cross = np.flatnonzero(cost <= left)
+            cross = np.flatnonzero((cost <= left) & (outside | ~home))
             index = np.r_[index, index[cross]]
+            home = np.r_[home, np.zeros(len(cross), dtype=bool)]
             node = np.r_[2 * node + outside, 2 * node[cross] + ~outside[cross]]
             left = np.r_[left, left[cross] - cost[cross]]
         return index, node
