@@ -285,8 +285,7 @@ def _scaled_millis(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    found = _stage_findings(_stages(spark, d, reasons=False)).where(F.col("type") == "spill_pressure")
-    return fd.evidence_rows(found, "log_id", "stage_id")
+    return fd.evidence_rows(materialize(_stage_findings(_stored_stages(spark, d)), "findings"), "log_id", "stage_id", "type")
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:

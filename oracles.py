@@ -668,21 +668,28 @@ def oracle_sql() -> dict[str, str]:
     return sql
 
 
-_EVIDENCE = {
-    # evidence key -> column, for the spill rule, whose figures are all byte counts or plain counts
-    k: v for k, v in STAGE_RULES["spill_pressure"][2].items()
-}
+_EVIDENCE_TEXTS = ("executorId", "host", "stageName", "failureReason")
 
 
 def _evidence_figures() -> str:
-    where = STAGE_RULES["spill_pressure"][0]
-    return " union all ".join(
-        f"select log_id, stage_id, '{k}' as key, cast({v} as bigint) as x from stages where {where}" for k, v in _EVIDENCE.items())
+    """Every entry of every stage finding: its JSON text, and its display."""
+    parts = []
+    for name, (where, _severity, evidence, *_rest) in STAGE_RULES.items():
+        for key, v in evidence.items():
+            value = display = f"({v})::varchar"
+            if key.endswith("Reasons"):
+                value = f"case when {v} = '' then '[]' else '[\"' || replace({v}, ',', '\",\"') || '\"]' end"
+                display = f"replace({v}, ',', ', ')"
+            elif key not in _EVIDENCE_TEXTS and ("Bytes" in key or "Millis" in key):
+                human = human_bytes("x") if "Bytes" in key else human_millis("x")
+                display = f"(select x || ' (' || {human} || ')' from (select ({v})::bigint as x))"
+            parts.append(f"select log_id, stage_id, '{name}' as type, '{key}' as key, {value} as value, {display} as display "
+                         f"from stages where {where}")
+    return " union all ".join(parts)
 
 
 def _evidence_body() -> str:
-    return ("select log_id, stage_id, key, x::varchar as value, case when key like '%Bytes%' then x || ' (' || "
-            f"{human_bytes('x')} || ')' else x::varchar end as display from figures")
+    return "select * from figures"
 
 
 def _text_parts() -> str:
