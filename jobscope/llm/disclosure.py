@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,13 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-#: A term is a word of letters; those of at least this many within so many words of an entity, in its line, can disclose it.
+#: A term is a word of letters, with apostrophes or hyphens inside; those of at least this many letters within so many
+#: words of an entity can disclose it.
 LETTERS, REACH = 3, 20
+JOINERS = "'\u2019\u2010\u2011-"
+TERM = rf"^\p{{P}}*+(\p{{L}}++(?:[{JOINERS}]\p{{L}}++)*+)\p{{P}}*+$"
+#: Signs set around matches to find the words they begin and end in.
+BEGIN, END = "\ue000", "\ue001"
 #: Texts in which a term must occur near an entity, and the share of the entity's information it must then carry:
 #: from the first share on it is replaced by a general word, from the second on removed.
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
@@ -32,58 +39,91 @@ def text_key(text: str = "text") -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def located(texts: DataFrame, keys: list[str], kinds: dict[str, Column]) -> DataFrame:
-    """``keys, kind, start, end, value, before, after``: matches of each kind's pattern, in code points.
+def located(texts: DataFrame, keys: list[str], kinds: dict[str, Column],
+            right: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """``keys, kind, start, end, value, near``: matches of each kind's pattern, in code points.
 
     What lies between matches is cut at the same places, so a match starts after all pieces and matches before it;
-    these are summed over rows, whatever the number of matches.  ``before`` and ``after`` are the words next to it.
+    these are summed over rows, whatever the number of matches.  With ``right``, a condition on kind and value, only
+    matches for which it holds are given, and ``near`` are the terms among the words around each, else null.
     ``keys`` must tell texts apart; equal rows count once.
     """
     kept = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("text", p, F.lit(0)).alias("m"))
                      for k, p in kinds.items()])
     found = texts.select(*keys, "text", F.explode(F.filter(kept, lambda x: F.size(x["m"]) > 0)).alias("x"),
                          *[p.alias(f"_{k}") for k, p in kinds.items()])
-    pieces = F.coalesce(*[F.when(F.col("x.kind") == k, F.split("text", F.col(f"_{k}"), -1)) for k in kinds])
-    found = found.select(*keys, "x.kind", "x.m", pieces.alias("p"))
-    rows = F.transform("m", lambda m, i: F.struct(
-        m.alias("value"), (F.length(F.get("p", i)) + F.length(m)).alias("step"),
-        words_near(F.substring_index(F.get("p", i), "\n", -1), last=True).alias("before"),
-        words_near(F.substring_index(F.get("p", i + 1), "\n", 1), last=False).alias("after")))
+
+    def of_kind(column: Callable[[Column], Column]) -> Column:
+        return F.coalesce(*[F.when(F.col("x.kind") == k, column(F.col(f"_{k}"))) for k in kinds])
+
+    parts = [of_kind(lambda p: F.split("text", p, -1)).alias("p")]
+    if right:
+        # Only texts that hold a right match are cut into words.
+        plain = F.translate("text", BEGIN + END, "??")
+        signed = of_kind(lambda p: F.regexp_replace(plain, p, F.lit(f"{BEGIN}$0{END}")))
+        some = F.exists("x.m", lambda v: right(F.col("x.kind"), v))
+        parts += [F.when(some, F.split("text", r"\s+")).alias("words"),
+                  F.when(some, F.split(signed, r"\s+")).alias("signed")]
+    found = found.select(*keys, "x.kind", "x.m", F.struct(*parts).alias("parts"))
+
+    def row(c: Column, m: Column, i: Column) -> Column:
+        step = (F.length(F.get(c["p"], i)) + F.length(m)).alias("step")
+        if not right:
+            return F.struct(m.alias("value"), step, F.lit(None).cast("array<string>").alias("near"))
+        holds = right(F.col("kind"), m)
+        return F.struct(F.when(holds, m).alias("value"), step, F.when(holds, words_near(c, i)).alias("near"))
+
+    # The single elements name what is used for every match, which would be cut anew each time.
+    parts = F.transform(F.array("parts"), lambda c: c if not right else F.struct(
+        c["p"].alias("p"), c["words"].alias("words"), words_with(c["signed"], BEGIN).alias("first"),
+        words_with(c["signed"], END).alias("last")))
+    rows = F.get(F.transform(parts, lambda c: F.transform("m", lambda m, i: row(c, m, i))), 0)
     placed = found.select(*keys, "kind", F.posexplode(rows).alias("nth", "r")).select(*keys, "kind", "nth", "r.*")
     placed = placed.dropDuplicates([*keys, "kind", "nth"])
     up_to = Window.partitionBy(*keys, "kind").orderBy("nth")
-    return placed.withColumn("end", F.sum("step").over(up_to)).select(
-        *keys, "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value", "before", "after")
+    return placed.withColumn("end", F.sum("step").over(up_to)).filter(F.col("value").isNotNull()).select(
+        *keys, "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value", "near")
+
 
+def words_with(signed: Column, sign: str) -> Column:
+    """The place of the word in which each ``sign`` stands, in order of the signs."""
+    return F.flatten(F.transform(signed, lambda w, i: F.array_repeat(i, F.length(w) - F.length(F.translate(w, sign, "")))))
 
-def words_near(text: Column, last: bool) -> Column:
-    """The words of letters among the last or first words of a text, in lower case."""
-    words = F.split(F.trim(text), r"\s+")
-    words = F.slice(F.reverse(words) if last else words, 1, REACH)
-    return F.filter(F.transform(words, lambda w: F.lower(F.regexp_extract(w, rf"^\p{{P}}*(\p{{L}}{{{LETTERS},}})\p{{P}}*$", 1))),
-                    lambda w: w != "")
+
+def words_near(c: Column, i: Column) -> Column:
+    """Terms, in lower case, among the ``REACH`` words before and after match ``i`` and what its own word holds beside it."""
+    first = F.get(c["first"], i)
+    words = F.concat(
+        F.slice(c["words"], F.greatest(first - REACH, F.lit(0)) + 1, F.least(first, F.lit(REACH))),
+        F.array(F.element_at(F.split(F.get(c["p"], i), r"\s"), -1), F.get(F.split(F.get(c["p"], i + 1), r"\s", 2), 0)),
+        F.slice(c["words"], F.get(c["last"], i) + 2, F.lit(REACH)))
+    terms = F.transform(words, lambda w: F.lower(F.regexp_extract(w, TERM, 1)))
+    return F.array_distinct(F.filter(terms, lambda w: F.length(F.translate(w, JOINERS, "")) >= LETTERS))
 
 
 def base_spans(texts: DataFrame) -> DataFrame:
     """``digest, kind, start, end, value, entity, near`` of the base patterns in ``texts`` (digest, text)."""
-    digits = F.regexp_replace("value", "[^0-9]", "")
-    count = F.length(digits)
-    right = (
-        (F.col("kind") == "email")
-        | ((F.col("kind") == "ip") & F.col("value").rlike(rf"^(?:{_BYTE}\.){{3}}{_BYTE}$"))
-        | ((F.col("kind") == "card") & count.between(14, 19) & F.call_function("luhn_check", digits))
-        | ((F.col("kind") == "phone") & count.between(10, 15)))
-    entity = F.xxhash64("kind", F.when(F.col("kind").isin("card", "phone"), digits).otherwise(F.lower("value")))
-    return (located(texts, ["digest"], {k: F.lit(p) for k, p in PATTERNS.items()}).filter(right)
-            .select("digest", "kind", "start", "end", "value", entity.alias("entity"),
-                    F.array_distinct(F.concat("before", "after")).alias("near")))
+    def digits(value: Column) -> Column:
+        return F.regexp_replace(value, "[^0-9]", "")
+
+    def right(kind: Column, value: Column) -> Column:
+        count = F.length(digits(value))
+        return ((kind == "email")
+                | ((kind == "ip") & value.rlike(rf"^(?:{_BYTE}\.){{3}}{_BYTE}$"))
+                | ((kind == "card") & count.between(14, 19) & F.call_function("luhn_check", digits(value)))
+                | ((kind == "phone") & count.between(10, 15)))
+
+    value = F.when(F.col("kind").isin("card", "phone"), digits(F.col("value"))).otherwise(F.lower("value"))
+    return located(texts, ["digest"], {k: F.lit(p) for k, p in PATTERNS.items()}, right).select(
+        "digest", "kind", "start", "end", "value", F.xxhash64("kind", value).alias("entity"), "near")
 
 
 def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """``digest, term`` for each row of ``texts`` and each of ``terms`` (h, term) that it holds, once a row."""
     if terms.count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
-    words = F.transform(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.xxhash64(w))
+    joined = F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<!\p{{L}})\p{{L}}++(?:[{JOINERS}]\p{{L}}++)++"), F.lit(0))
+    words = F.transform(F.array_distinct(F.concat(F.split(F.lower("text"), r"[^\p{L}]+"), joined)), lambda w: F.xxhash64(w))
     return texts.select("digest", F.explode(words).alias("h")).join(terms, "h").select("digest", "term")
 
 
@@ -124,8 +164,11 @@ def scan_personal(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     terms = disclosing_terms(texts, base)
     own = store(occurrences(texts, terms.select("h", "term")).groupBy("digest").agg(
         F.array_sort(F.collect_set("term")).alias("own")), "own-terms")
-    # The order of terms is of no matter: a match must end where its letters end.
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("own", "|"),
+    # A match must end where its letters end; joined words, which must be whole, come before words that they begin with.
+    joined = F.filter("own", lambda w: w.rlike(f"[{JOINERS}]"))
+    alone = F.filter("own", lambda w: ~w.rlike(f"[{JOINERS}]"))
+    joined = F.transform(joined, lambda w: F.concat(F.lit(rf"(?<!\p{{L}}[{JOINERS}])"), w, F.lit(rf"(?![{JOINERS}]\p{{L}})")))
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.concat(joined, alone), "|"),
                        F.lit(r")(?!\p{L})"))
     marked = located(texts.join(own, "digest").withColumn("pattern", pattern), ["digest"], {"term": F.col("pattern")})
     marked = marked.join(terms.select(F.col("term").alias("_term"), "share"), F.lower("value") == F.col("_term"), "left") \

@@ -141,6 +141,25 @@ def test_disclosing_terms(spark):
     assert "[email]" in clean[300] and all(clean[i] == docs[i][1] for i in range(200))
 
 
+def test_terms_across_lines_and_numbers(spark):
+    rnd = random.Random(3)
+    common = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    prose = lambda n=12: " ".join(rnd.choice(common) for _ in range(n))
+    docs = [(i, prose()) for i in range(200)]
+    near = ["Name: Zanzibar Miller\nmail: x@y.org", "Quuxley, born 1984, card 4111 1111 1111 1111",
+            "O'Brien and Jean-Pierre: call +1 (555) 010-9999", "+1 (555) 020-8888, 1.2.3 and 12 of 34\n\n(Wibbleton)",
+            "Farawell " + " 77 ".join(["alpha"] * 10) + " other@mail.example.com", "Toofar " + prose(20) + " third@mail.example.com"]
+    docs += [(1000 + 10 * k + i, f"{prose()} {t}\n{i} {prose()}") for k, t in enumerate(near) for i in range(4)]
+    alone = ["zanzibar", "quuxley", "o'brien", "jean-pierre", "wibbleton", "farawell", "toofar", "jean-pierre-yves"]
+    docs += [(2000 + i, f"{prose()} {w} {prose()}") for i, w in enumerate(alone)]
+    rows = {r.doc_id: r.spans for r in personal_digests(scan_personal(spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
+    text = dict(docs)
+    for i, w in enumerate(alone):
+        at = text[2000 + i].index(w)
+        want = "" if i > 5 else rf"(term|drop):{at}:{at + len(w)}"
+        assert re.fullmatch(want, rows[2000 + i]), (w, rows[2000 + i])
+
+
 def test_personal_edges(spark):
     docs = edge.documents(spark)
     got = personal_digests(scan_personal(docs))
