@@ -15,10 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import rows_of, store, whole
+from jobscope.llm.common import document_key, rows_of, store, whole
 
 WORDS, MAX_BITS, SEED = 3, 3, 42
 #: Fingerprints in a shard that the tree's depth aims at, and rows of either side in one block of a shard.
@@ -249,6 +249,17 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def grouped(docs: DataFrame, words: int, reach: int, key: str) -> DataFrame:
+    """``key, fp, component`` for each row of ``docs``: the least key of the component; equal fingerprints are worked once."""
+    found = store(fingerprints(docs, words, key), "fingerprints")
+    heads = store(found.groupBy("fp").agg(F.min(key).alias("least")), "heads")
+    comps = components(near_pairs(heads.select("fp"), reach))
+    rooted = heads.join(comps, heads["fp"] == comps["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return found.join(rooted.join(least, "root").select("fp", "component"), "fp")
+
+
 def simhash_components(docs: DataFrame, words: int = WORDS, reach: int = MAX_BITS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row of ``docs``.
 
@@ -257,24 +268,15 @@ def simhash_components(docs: DataFrame, words: int = WORDS, reach: int = MAX_BIT
     Rows with a null doc_id take part and get their component's smallest id (null only if it has no other).  Repeated
     rows and empty tables pass through; further columns are ignored.
     """
-    found = store(fingerprints(docs, words), "fingerprints")
-    heads = store(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "heads")
-    comps = components(near_pairs(heads.select("fp"), reach))
-    grouped = heads.join(comps, heads["fp"] == comps["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = grouped.join(least, "root").select("fp", "component_id")
-    return found.join(of_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs, words, reach, "doc_id").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, reach: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs``, unchanged, but one of each component: its smallest doc_id.
+    """The rows of ``docs``, unchanged, but one of each component: its first document (by doc_id, null last, then by text).
 
-    Of repeated rows with that doc_id the least by text stays.  Rows without a doc_id can't be named and all stay.
-    Empty tables pass through.
+    Rows of one doc_id in different components each stay for theirs; of repeated rows one stays.  Empty tables pass through.
     """
-    chosen = simhash_components(docs, words, reach).select(F.col("component_id").alias("doc_id")).distinct()
-    alike = Window.partitionBy("doc_id").orderBy(F.xxhash64(whole()))
-    kept = docs.join(chosen, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(alike)).filter("_nth = 1")
-    return kept.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    keyed = docs.withColumn("_key", document_key())
+    chosen = grouped(keyed, words, reach, "_key").select(F.col("component").alias("_key")).distinct()
+    return keyed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

@@ -152,3 +152,13 @@ def test_simhash_edges(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 5, None, 8, 9, 10], key=str)
     assert simhash_components(edge.empty(spark)).count() == 0 and keep_one_of_each(edge.empty(spark)).count() == 0
+
+
+def test_one_row_stays_of_each_component(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in ("apple", "pear", "plum", "fig")]
+    a, b, c, d = texts
+    docs = [(1, a), (2, a), (2, b), (3, c), (3, d), (4, d), (None, "alone and without id"), (None, "alone and without id"),
+            (None, a), (None, "another text that has no id")]
+    got = keep_one_of_each(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    want = [(1, a), (2, b), (3, c), (3, d), (None, "alone and without id"), (None, "another text that has no id")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, want))
