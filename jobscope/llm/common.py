@@ -13,6 +13,8 @@ from jobscope.session import materialize
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
+#: A group that holds over one in so many rows is hot; fewer groups than that can be.
+HOT_SHARE = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,22 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, f"llm-{label}")
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` with the columns of their group, where one group may hold a third of all rows.
+
+    ``groups`` is stored, holds each row's group once and its number of rows in ``size``.  Those with more than one in
+    ``HOT_SHARE`` rows are fewer than ``HOT_SHARE``, so they are broadcast; the rows of all others are shuffled, and no
+    key of these is large.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    least = total // HOT_SHARE + 1
+    hot = groups.filter(F.col(size) > least).withColumn("_hot", F.lit(True))
+    met = rows.join(F.broadcast(hot), keys, "left")
+    columns = [*rows.columns, *[c for c in groups.columns if c not in rows.columns]]
+    rest = met.filter("_hot is null").select(*rows.columns).join(groups.filter(F.col(size) <= least), keys)
+    return met.filter("_hot").select(*columns).unionByName(rest.select(*columns))
+
+
 def spans_text(spans: Iterable[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 

@@ -76,12 +76,25 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_digests(scan_personal(table(spark, sf_dir, "documents")))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobscope.llm.exact_dedup import group_copies
+
+    return group_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_simhash, op4_html_text, op5_secret_scan,
-                                op6_weighted_fingerprint, op7_mix_sources, op8_decontaminate, op9_language_id, op10_personal_data)}
+                                op6_weighted_fingerprint, op7_mix_sources, op8_decontaminate, op9_language_id, op10_personal_data, op13_exact_dedup)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op13_exact_dedup": r"""
+with d as (select doc_id, length(coalesce(text, '')) as n_chars,
+                  regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as normal from documents),
+w as (select *, row_number() over best as place, first_value(doc_id) over best as keep_id,
+             count(*) over (partition by normal) as group_size
+      from d window best as (partition by normal order by n_chars desc, doc_id nulls last))
+select doc_id, keep_id, group_size, place = 1 as kept, sha256(normal) as text_sha256 from w""",
     "op7_mix_sources": r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
