@@ -76,6 +76,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_digests(scan_personal(table(spark, sf_dir, "documents")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobscope.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobscope.llm.importance import resample
 
@@ -91,7 +97,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_simhash, op4_html_text, op5_secret_scan,
                                 op6_weighted_fingerprint, op7_mix_sources, op8_decontaminate, op9_language_id, op10_personal_data,
-                                op12_importance, op13_exact_dedup)}
+                                op11_spelling, op12_importance, op13_exact_dedup)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
