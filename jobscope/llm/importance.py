@@ -16,7 +16,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,6 +181,23 @@ def _data(text: str) -> Column:
     return whole(text).cast("binary").alias("data")
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[Row]:
+    """Rows of ``counts`` from the least ``n`` on at which they are no more than ``most``, most frequent first.
+
+    The least is found by counting rows by steps of an eighth of a power of two, so only rows that stay are fetched.
+    """
+    step = F.floor(8 * F.log2("n"))
+    least, taken = None, 0
+    for row in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        taken += row["count"]
+        if taken > most:
+            break
+        least = row.step
+    if least is None:
+        return []
+    return sorted(counts.filter(step >= least).collect(), key=lambda r: (-r.n, r[0]))
+
+
 def frequent_words(texts: DataFrame) -> list[bytes]:
     """The head words by their counts over all texts."""
 
@@ -200,9 +217,8 @@ def frequent_words(texts: DataFrame) -> list[bytes]:
                     seen.clear()
         yield handed()
 
-    best = (texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word"))
-    return [bytes(row.word) for row in best.collect()]
+    counts = store(texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return [bytes(row.word) for row in most_frequent(counts, HEAD_WORDS)]
 
 
 def frequent_pairs(texts: DataFrame, words: list[bytes]) -> np.ndarray:
@@ -224,9 +240,8 @@ def frequent_pairs(texts: DataFrame, words: list[bytes]) -> np.ndarray:
         best = np.argsort(-counts, kind="stable")[:HEAD_PAIRS]
         yield pa.RecordBatch.from_arrays([pa.array(keys[best]), pa.array(counts[best])], names=["pair", "n"])
 
-    best = (texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "pair").limit(HEAD_PAIRS).select("pair"))
-    return np.array([row.pair for row in best.collect()], np.int64)
+    counts = store(texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    return np.array([row.pair for row in most_frequent(counts, HEAD_PAIRS)], np.int64)
 
 
 def bucket_totals(texts: DataFrame, head: Head) -> np.ndarray:
