@@ -33,6 +33,8 @@ SLIP = 199
 #: Words in a shard.  It grows only where that many shards would not do, which bounds the list of those to be parted.
 SHARD_WORDS = 1024
 MOST_SHARDS = 100_000
+#: Words that a task scans.
+TASK_WORDS = 1 << 13
 COUNTED = 1 << 18
 LONG_TEXT = 1 << 20
 
@@ -211,7 +213,8 @@ def _meetings(parted: DataFrame) -> DataFrame:
 def near_words(words: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``word, n_near, less, form``: how many words are one edit away, and the most frequent of them (``-less`` times;
     of equal ones the first in code-point order).  ``words`` is stored, with distinct ``word`` and their ``n``."""
-    bound = max(shard_words, words.count() // MOST_SHARDS)
+    count = words.count()
+    bound = max(shard_words, count // MOST_SHARDS)
     inside = words.select("word", "n", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("shard"))
     leaves: list[DataFrame] = []
     found: list[DataFrame] = []
@@ -231,7 +234,8 @@ def near_words(words: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
         inside = parted.filter(F.length("word") > F.col("at")).select(
             "word", "n", (F.col("at") + 1).alias("depth"), F.expr("xxhash64(left(word, at + 1), at)").alias("shard"))
     dealt = reduce(DataFrame.unionByName, leaves).select("shard", "depth", "word", "n")
-    scanned = dealt.repartition("shard").sortWithinPartitions("shard", "depth", "word").mapInArrow(
+    # scans cost time, not bytes: their number follows from the words
+    scanned = dealt.repartition(count // TASK_WORDS + 1, "shard").sortWithinPartitions("shard", "depth", "word").mapInArrow(
         scan, "word string, n_near long, less long, form string")
     return reduce(DataFrame.unionByName, found, scanned).groupBy("word").agg(
         F.sum("n_near").alias("n_near"), F.min(F.struct("less", "form")).alias("best")).select("word", "n_near", "best.*")
