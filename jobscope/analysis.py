@@ -76,7 +76,7 @@ def analyze(lines: DataFrame, *, limits: Limits = DEFAULT_LIMITS, extra_rules: l
         events.select("log_id"), job_table, stage_table, at.tasks_without_stage(attempts), found)
     apps = jobs.applications(ev.application_events(events))
     of_latest = latest.select(*at.ATTEMPT)
-    workers = worker_summary(worker_totals(tasks), metrics).join(of_latest, [*at.ATTEMPT], "left_semi")
+    workers = worker_summary(worker_totals(tasks, at.worker_names(attempts)), metrics).join(of_latest, [*at.ATTEMPT], "left_semi")
     samples = sorted_samples(value_counts(tasks)).join(of_latest, [*at.ATTEMPT], "left_semi")
     return {
         "log_validation": validation,

@@ -18,28 +18,46 @@ def logical_tasks(attempts: DataFrame) -> DataFrame:
     """One row per (stage attempt, task index): the first success and what else happened.
 
     The fold is partial on the map side, so a task index repeated any number of
-    times reaches the shuffle as one row per map task.
+    times reaches the shuffle as one row per map task.  All it keeps are numbers
+    of fixed width, so neither side of the shuffle is sorted; ``first.worker``
+    stands for executor and host, which ``worker_names`` gives back.
     """
     ok = logical_success()
     failed = ~F.col("success")
-    kept = F.struct(*SAMPLES, "executor_id", "host", "seq")
+    won = F.when(ok, F.col("seq"))
+    numbered = attempts.where(F.col("stage_id").isNotNull()).withColumn("worker", worker_key())
+    kept = (*SAMPLES, "worker")
     return (
-        attempts.where(F.col("stage_id").isNotNull())
+        numbered
         .groupBy(*ATTEMPT, "task_index")
         .agg(
-            F.min_by(kept, F.when(ok, F.col("seq"))).alias("first"),
+            F.min(won).alias("seq"), *[F.min_by(c, won).alias(c) for c in kept],
             F.count_if(ok).alias("successes"),
             F.count_if(ok & F.col("speculative")).alias("speculative_attempts"),
             F.sum(F.when(ok & F.col("speculative"), F.col("duration_ms"))).alias("speculative_ms"),
             F.count_if(failed).alias("failed_attempts"),
             F.sum(F.when(failed, F.col("duration_ms"))).alias("failed_ms"),
             F.min("seq").alias("first_seq"))
+        .withColumn("first", F.when(F.col("seq").isNotNull(), F.struct(*kept, "seq")))
+        .drop("seq", *kept)
     )
 
 
+def worker_key() -> Column:
+    """Executor and host as one number; within a log these are too few for two of them to meet."""
+    return F.xxhash64("executor_id", "host")
+
+
+def worker_names(attempts: DataFrame) -> DataFrame:
+    """``(log_id, worker, executor_id, host)``: as many rows as a log has executors."""
+    return attempts.select("log_id", worker_key().alias("worker"), "executor_id", "host").distinct()
+
+
 def successful_logical_tasks(attempts: DataFrame) -> DataFrame:
     """The first success of every logical task."""
-    return logical_tasks(attempts).where(F.col("first").isNotNull()).select(*ATTEMPT, "task_index", "first.*")
+    tasks = logical_tasks(attempts).where(F.col("first").isNotNull()).select(*ATTEMPT, "task_index", "first.*")
+    return tasks.join(worker_names(attempts), ["log_id", "worker"]).select(
+        *ATTEMPT, "task_index", *SAMPLES, "executor_id", "host", "seq")
 
 
 def stage_attempt_metrics(tasks: DataFrame, first_seen: bool = False) -> DataFrame:

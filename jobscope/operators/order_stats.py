@@ -1,10 +1,10 @@
 """Exact order statistics per stage attempt without gathering a stage's samples.
 
 Equal samples are counted together first, so the shuffle carries one row per
-distinct value and a stage of any size spreads over all tasks.  The value at a
-wanted rank is then found by three narrowing passes over value prefixes (the
-value without its low 42, 21 and 0 bits).  Each pass orders at most 2**21
-entries together, whatever the number of samples.
+distinct value and a stage of any size spreads over all tasks.  Then two passes
+select: a histogram of fixed layout (log-linear, 256 buckets for each power of
+two) finds the bucket of every wanted rank, and only the values of these buckets
+are put in order.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from jobscope.operators.attempts import ATTEMPT, SAMPLES
 
 DIGIT_BITS = 21
+BUCKET_BITS = 8
 KEY = (*ATTEMPT, "metric")
 STATISTICS = ("median", "p95", "p99")
 
@@ -45,34 +46,35 @@ def wanted_ranks(total: Column) -> Column:
         entry("p99", _nearest_rank(0.99, total)))
 
 
-def _covering(counts: DataFrame, keys: tuple[str, ...], digit: str, wanted: Column) -> DataFrame:
-    """Entries of ``digit`` that contain a wanted rank, with the rank counted from their start."""
-    through = Window.partitionBy(*keys).orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)
-    hits = F.filter(F.col("_wanted"),
-                    lambda w: (w["rank"] > F.col("_through") - F.col("n")) & (w["rank"] <= F.col("_through")))
-    return (
-        counts.withColumn("_through", F.sum("n").over(through))
-        .withColumn("_wanted", wanted)
-        .withColumn("_hits", hits).where(F.size("_hits") > 0)
-        .select(*keys, digit,
-                F.transform("_hits", lambda w: F.struct(
-                    w["stat"].alias("stat"), (w["rank"] - F.col("_through") + F.col("n")).alias("rank"))).alias("_wanted"))
-    )
+def histogram_bucket(value: Column) -> Column:
+    """A number that rises with the value: each value below 512 has its own, above that 256 share a power of two."""
+    size = F.greatest(value, value.bitwiseXOR(F.lit(-1)))
+    power = F.floor(F.log2(F.greatest(size, F.lit(1 << BUCKET_BITS)))).cast("int")
+    # where the logarithm of a number just below a power of two is rounded up, the quotient is one less, and the sum right
+    place = F.call_function("shiftright", size, power - BUCKET_BITS) + F.shiftleft(power - BUCKET_BITS, BUCKET_BITS)
+    return F.when(value < 0, -1 - place).otherwise(place)
+
+
+def _hits(wanted: Column) -> Column:
+    """The wanted ranks that fall on a row, counted from its start; ``_through`` counts up to its end."""
+    start = F.col("_through") - F.col("n")
+    met = F.filter(wanted, lambda w: (w["rank"] > start) & (w["rank"] <= F.col("_through")))
+    return F.transform(met, lambda w: F.struct(w["stat"].alias("stat"), (w["rank"] - start).alias("rank")))
 
 
 def order_statistics(counts: DataFrame) -> DataFrame:
     """One row per stage attempt and metric: sample count, median, p95, p99."""
-    middle = (
-        counts.groupBy(*KEY, F.shiftright("value", DIGIT_BITS).alias("middle")).agg(F.sum("n").alias("n"))
-        .withColumn("top", F.shiftright("middle", DIGIT_BITS)))
-    tops = middle.groupBy(*KEY, "top").agg(F.sum("n").alias("n"))
+    placed = counts.withColumn("bucket", histogram_bucket(F.col("value")))
+    histogram = placed.groupBy(*KEY, "bucket").agg(F.sum("n").alias("n"))
     whole = Window.partitionBy(*KEY)
-    totals = tops.withColumn("total", F.sum("n").over(whole))
-    in_top = _covering(totals, KEY, "top", wanted_ranks(F.col("total")))
-    in_middle = _covering(middle.join(in_top, [*KEY, "top"]), (*KEY, "top"), "middle", F.col("_wanted"))
-    values = counts.withColumn("middle", F.shiftright("value", DIGIT_BITS))
-    at_value = _covering(values.join(in_middle.drop("top"), [*KEY, "middle"]), (*KEY, "middle"), "value", F.col("_wanted"))
-    found = at_value.select(*KEY, "value", F.explode("_wanted.stat").alias("stat"))
+    so_far = Window.partitionBy(*KEY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = (
+        histogram.withColumn("_total", F.sum("n").over(whole)).withColumn("_through", F.sum("n").over(so_far))
+        .select(*KEY, "bucket", _hits(wanted_ranks(F.col("_total"))).alias("_wanted")).where(F.size("_wanted") > 0))
+    inside = Window.partitionBy(*KEY, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    found = (
+        placed.join(wanted, [*KEY, "bucket"]).withColumn("_through", F.sum("n").over(inside))
+        .select(*KEY, "value", F.explode(_hits(F.col("_wanted"))["stat"]).alias("stat")))
 
     def pick(stat: str) -> Column:
         return F.max(F.when(F.col("stat") == stat, F.col("value")))

@@ -36,7 +36,7 @@ def stages(attempts: DataFrame, stage_events: DataFrame | None = None, *,
         stats = order_stats.order_statistics(order_stats.value_counts(tasks, statistics))
         wide = wide.join(order_stats.statistics_by_attempt(stats), [*ATTEMPT], "left")
     if spread:
-        summary = workers.worker_summary(workers.worker_totals(tasks), at.stage_attempt_metrics(tasks))
+        summary = workers.worker_summary(workers.worker_totals(tasks, at.worker_names(attempts)), at.stage_attempt_metrics(tasks))
         wide = wide.join(workers.heaviest_by_attempt(workers.heaviest_worker(summary)), [*ATTEMPT], "left")
     if reasons:
         why = at.failure_reasons(attempts)

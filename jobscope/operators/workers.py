@@ -11,21 +11,29 @@ from jobscope.operators.attempts import ATTEMPT
 KINDS = ("executor", "host")
 
 
-def worker_totals(tasks: DataFrame) -> DataFrame:
-    """Task count and duration per worker, over tasks with a duration and a worker name."""
+def worker_totals(tasks: DataFrame, names: DataFrame) -> DataFrame:
+    """Task count and duration per worker, over tasks with a duration and a worker name.
+
+    Tasks are summed by the number of their worker first; ``names`` (:func:`worker_names`) meets only the sums.
+    """
     first = F.col("first")
     roles = F.array(
-        F.struct(F.lit("executor").alias("kind"), first["executor_id"].alias("worker_id")),
-        F.struct(F.lit("host").alias("kind"), first["host"].alias("worker_id")))
-    return (
+        F.struct(F.lit("executor").alias("kind"), F.col("executor_id").alias("worker_id")),
+        F.struct(F.lit("host").alias("kind"), F.col("host").alias("worker_id")))
+    sums = (
         tasks.where(first["duration_ms"].isNotNull())
-        .select(*ATTEMPT, first["duration_ms"].alias("duration_ms"), first["seq"].alias("seq"),
-                F.explode(roles).alias("role"))
-        .select(*ATTEMPT, "role.*", "duration_ms", "seq").where(has_text(F.col("worker_id")))
-        .groupBy(*ATTEMPT, "kind", "worker_id")
+        .select(*ATTEMPT, first["worker"].alias("worker"), first["duration_ms"].alias("duration_ms"), first["seq"].alias("seq"))
+        .groupBy(*ATTEMPT, "worker")
         .agg(F.count(F.lit(1)).alias("task_count"), F.sum("duration_ms").alias("duration_ms"),
              F.min("seq").alias("first_seq"))
     )
+    return (
+        sums.join(names, ["log_id", "worker"]).select("*", F.explode(roles).alias("role"))
+        .select(*ATTEMPT, "role.*", "task_count", "duration_ms", "first_seq").where(has_text(F.col("worker_id")))
+        .groupBy(*ATTEMPT, "kind", "worker_id")
+        .agg(F.sum("task_count").alias("task_count"), F.sum("duration_ms").alias("duration_ms"),
+             F.min("first_seq").alias("first_seq"))
+    )
 
 
 def worker_summary(totals: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Event order.
 
-``seq`` orders the events of one log: (rolling part, file, block, line).  It is
-taken on the scan, before any shuffle, and carried along.  ``seq_bucket`` maps
-it to a coarser, order-preserving bucket with a bounded number of events, which
-lets running computations over one log or one stage be split: first over the
-few buckets, then inside each bucket.
+``seq`` orders the events of one log.  It is one number of fixed width, taken on the scan before any shuffle: the place of
+a file among those of its log, then the place of the line in the file.  A line's place is the byte at which its block
+starts plus its number in the block, or the byte at which the line starts: lines take at least a byte each, so either
+keeps their order and is dense.  Aggregates over it keep it in place, without sorting.
+
+``seq_bucket`` maps it to a coarser, order-preserving bucket with a bounded number of events, which lets running
+computations over one log or one stage be split: first over the few buckets, then inside each bucket.
 """
 
 from __future__ import annotations
@@ -15,26 +17,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEQ_TYPE = "struct<part:bigint,file:string,block:bigint,line:bigint>"
-BUCKET_BITS = 12
-LINE_BITS = 14
+SEQ_TYPE = "bigint"
+#: Bits of a line's place in its file, and of a file's place in its log.
+LINE_BITS = 40
+FILE_BITS = 23
+BUCKET_BITS = 20
 
 
-def make_seq(part: Column, file: Column, block: Column, line: Column) -> Column:
-    return F.struct(part.cast("bigint").alias("part"), file.alias("file"),
-                    block.cast("bigint").alias("block"), line.cast("bigint").alias("line"))
+def make_seq(file_place: Column, line_place: Column) -> Column:
+    """Places beyond the range are taken as the last one."""
+    file_place = F.least(file_place.cast("bigint"), F.lit((1 << FILE_BITS) - 1))
+    line_place = F.least(line_place.cast("bigint"), F.lit((1 << LINE_BITS) - 1))
+    return F.shiftleft(file_place, LINE_BITS).bitwiseOR(line_place)
 
 
 def seq_bucket(seq: Column) -> Column:
-    """Splits of a file start far more than 2**12 bytes apart, so a bucket never spans two of them.
-
-    A compressed file is one split, which begins at 0; its lines are told apart by number, and come before any others
-    of their bucket.
-    """
-    return F.struct(seq["part"].alias("part"), seq["file"].alias("file"),
-                    F.shiftright(seq["block"], BUCKET_BITS).alias("block"),
-                    F.when(seq["block"] == 0, F.shiftright(seq["line"], LINE_BITS)).otherwise(F.lit((1 << 63) - 1))
-                    .alias("lines"))
+    """A megabyte of a plain file, or 2**20 lines of a compressed one."""
+    return F.shiftright(seq, BUCKET_BITS)
 
 
 def number_rows(df: DataFrame, group: Sequence[str], bucket: Sequence[Column],

@@ -25,18 +25,23 @@ _ARROW_NODE = pa.struct([
 
 
 def _text(value: object) -> str | None:
-    if value is None or isinstance(value, str):
-        return value
-    return "" if isinstance(value, (dict, list)) else json.dumps(value)
+    if value is None:
+        return None
+    if not isinstance(value, str):
+        return "" if isinstance(value, (dict, list)) else json.dumps(value)
+    # JSON can name half a surrogate pair, which is no text
+    return value.encode("utf-8", "replace").decode("utf-8")
 
 
 def _long(value: object) -> int | None:
+    """A whole number of 64 bits; what is none, or is out of range, counts as 0."""
     if value is None:
         return None
     try:
-        return int(float(value)) if isinstance(value, (float, str)) and "." in str(value) else int(value)
-    except (TypeError, ValueError):
+        number = int(float(value)) if isinstance(value, (float, str)) and "." in str(value) else int(value)
+    except (TypeError, ValueError, OverflowError):
         return 0
+    return number if -(1 << 63) <= number < 1 << 63 else 0
 
 
 def flatten_tree(tree: object) -> list[dict]:

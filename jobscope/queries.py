@@ -78,7 +78,8 @@ def _stored_stages(spark: SparkSession, d: str) -> DataFrame:
 
 def _workers(spark: SparkSession, d: str) -> DataFrame:
     tasks = _tasks(spark, d)
-    return workers.worker_summary(workers.worker_totals(tasks), at.stage_attempt_metrics(tasks))
+    names = at.worker_names(tb.attempts(spark, d))
+    return workers.worker_summary(workers.worker_totals(tasks, names), at.stage_attempt_metrics(tasks))
 
 
 def _jobs(spark: SparkSession, d: str) -> DataFrame:
@@ -360,8 +361,8 @@ def _ingested(spark: SparkSession, d: str) -> DataFrame:
     for arrival in range(3):
         (lines.where(F.col("arrival") == arrival).select(F.col("log_id").alias("app"), "value")
          .write.mode("append").partitionBy("app").text(source))
-        ingest.stream_event_lines(spark, source, target, folder_is_log=True)
-    events = ingest.read_event_lines(spark, target).withColumn("log_id", F.regexp_extract("log_id", ll.LOG_FOLDER, 1))
+        ingest.stream_event_lines(spark, source, target)
+    events = ingest.read_event_lines(spark, target, folder_is_log=True).withColumn("log_id", F.regexp_extract("log_id", ll.LOG_FOLDER, 1))
     return ev.task_attempts(events).drop("seq")
 
 

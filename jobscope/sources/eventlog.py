@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobscope.ordering import make_seq
+from jobscope.ordering import FILE_BITS, make_seq
 from jobscope.sources.codecs import FRAMED_SUFFIXES, decode_framed_files
 
 # File names that never hold events, and how rolling parts are named.
 STATUS_PREFIX = "appstatus"
 ROLLING_NAME = r"^events_(\d+)(?:_|$).*$"
-LINE_BITS = 33
-LAST_PART = (1 << 63) - 1
+TASK_LINE_BITS = 33
+LAST_PART = (1 << FILE_BITS) - 1
+#: So many files whose place in their log follows from the listing alone are sent to all tasks; paths and numbers, 50 MB.
+LISTED_FILES = 100_000
 
 
 def is_event_file(file_name: Column) -> Column:
@@ -42,32 +44,72 @@ def base_name(file_path: Column) -> Column:
     return F.regexp_extract(file_path, r"([^/]*)$", 1)
 
 
-def scan_event_lines(spark: SparkSession, paths: str | list[str], folder_is_log: bool = False) -> DataFrame:
-    """``(log_id, seq, value)`` for every non-blank line of every event file under ``paths``.
+def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``path, name, length, modified, place_to_read`` of the files below ``paths``; their contents are not read."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+            .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), "length",
+                    F.col("modificationTime").alias("modified"), F.col("path").alias("place_to_read")))
+
+
+def ranked_files(files: DataFrame, folder_is_log: bool = False) -> DataFrame:
+    """``path, place`` of files that part numbers alone don't put in order: those of logs in which a number is repeated."""
+    keyed = files.where(is_event_file(F.col("name"))).select(
+        "path", log_id_of_path(F.col("path"), F.col("name"), folder_is_log).alias("log_id"), part_number(F.col("name")).alias("part"))
+    of_log = Window.partitionBy("log_id")
+    again = F.row_number().over(Window.partitionBy("log_id", "part").orderBy("path")) > 1
+    return (
+        keyed.withColumn("again", again)
+        .withColumn("repeated", F.max("again").over(of_log))
+        .withColumn("place", F.row_number().over(of_log.orderBy("part", "path")))
+        .where("repeated").select("path", "place"))
+
+
+def scan_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(path, name, at, value)`` for every non-blank line of every event file under ``paths``.
 
     Plain, gzip and zstd files go through the text source, which splits plain
     files by itself.  Files in the lz4 and snappy block framings are decoded by
     a separate scan, one file per record.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    text = number_lines(spark.read.option("recursiveFileLookup", "true").text(paths), folder_is_log)
+    text = number_lines(spark.read.option("recursiveFileLookup", "true").text(paths))
     framed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*{" + ",".join(FRAMED_SUFFIXES) + "}").load(paths)
     )
-    return text.unionByName(decode_framed_files(framed, folder_is_log))
+    return text.unionByName(decode_framed_files(framed))
+
 
+def order_lines(lines: DataFrame, files: DataFrame, folder_is_log: bool = False) -> DataFrame:
+    """``lines`` (``path, name, at`` and more) with ``log_id`` and ``seq`` first, given all files of their logs."""
+    ranked = ranked_files(files, folder_is_log)
+    listed = ranked.limit(LISTED_FILES + 1).collect()
+    if len(listed) <= LISTED_FILES:
+        ranked = F.broadcast(lines.sparkSession.createDataFrame(listed, ranked.schema))
+    place = part_number(F.col("name"))
+    if listed:
+        lines = lines.join(ranked, "path", "left")
+        place = F.coalesce("place", place)
+    rest = [c for c in lines.columns if c not in ("path", "name", "at", "place")]
+    return lines.select(log_id_of_path(F.col("path"), F.col("name"), folder_is_log).alias("log_id"),
+                        make_seq(place, F.col("at")).alias("seq"), *rest)
 
-def number_lines(text: DataFrame, folder_is_log: bool = False) -> DataFrame:
-    """Attach log and order to the rows of a text scan; nothing may shuffle before this."""
+
+def scan_event_lines(spark: SparkSession, paths: str | list[str], folder_is_log: bool = False) -> DataFrame:
+    """``(log_id, seq, value)`` for every non-blank line of every event file under ``paths``."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    return order_lines(scan_lines(spark, paths), list_files(spark, paths), folder_is_log)
+
+
+def number_lines(text: DataFrame) -> DataFrame:
+    """``path, name, at, value`` of the rows of a text scan; nothing may shuffle before this.
+
+    ``at`` rises along a file: lines before a block take at least as many bytes as they are many.
+    """
     name = F.col("_metadata.file_name")
-    path = F.col("_metadata.file_path")
-    line = F.monotonically_increasing_id().bitwiseAND((1 << LINE_BITS) - 1)
+    line = F.monotonically_increasing_id().bitwiseAND((1 << TASK_LINE_BITS) - 1)
     return (
         text.where(is_event_file(name) & ~is_framed_file(name))
-        .select(
-            log_id_of_path(path, name, folder_is_log).alias("log_id"),
-            make_seq(part_number(name), path, F.col("_metadata.file_block_start"), line).alias("seq"),
-            "value")
+        .select(F.col("_metadata.file_path").alias("path"), name.alias("name"),
+                (F.col("_metadata.file_block_start") + line).alias("at"), "value")
         .where(F.col("value").rlike(r"\S"))
     )

@@ -47,8 +47,11 @@ def is_recognised(value: Column) -> Column:
 
 def recognise_events(lines: DataFrame) -> DataFrame:
     """Only lines of the recognised events, with their name; other lines are never parsed further."""
-    return lines.where(is_recognised(F.col("value"))).select(
-        "log_id", "seq", event_name(F.col("value")).alias("event"), "value")
+    return recognise_lines(lines).select("log_id", "seq", "event", "value")
+
+
+def recognise_lines(lines: DataFrame) -> DataFrame:
+    return lines.where(is_recognised(F.col("value"))).withColumn("event", event_name(F.col("value")))
 
 
 def validate_logs(lines: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobscope.operators.sanitize import USER
-from jobscope.ordering import make_seq
 from jobscope.plans.flatten import NODE_TYPE
 from jobscope.sources import events as ev
 
@@ -137,13 +136,12 @@ def line_base(lineitem: DataFrame) -> DataFrame:
 
 
 def _line_seq(slot: int) -> F.Column:
-    """Line items in key order; 33 bits of part key and 24 bits of price tell lines of one order apart."""
-    line = F.expr(f"((l_linenumber * 8589934592 + l_partkey) * 16777216 + cents) * 4 + {slot}")
-    return make_seq(F.lit(0), F.lit(""), F.col("l_orderkey"), line).alias("seq")
+    """Line items in the order of order, line number and price, which take 34, 3 and 24 bits."""
+    return F.expr(f"((l_orderkey * 8 + l_linenumber) * 16777216 + cents) * 4 + {slot}").alias("seq")
 
 
 def _order_seq() -> F.Column:
-    return make_seq(F.lit(0), F.lit(""), F.col("o_orderkey"), F.lit(0)).alias("seq")
+    return F.expr("o_orderkey * 536870912").alias("seq")
 
 
 def attempts_of(lineitem: DataFrame) -> DataFrame:

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jobscope.operators.attempts import ATTEMPT, STAGE
-from jobscope.ordering import SEQ_TYPE
-from jobscope.sources.eventlog import base_name, is_event_file, scan_event_lines
-from jobscope.sources.events import recognise_events
+from jobscope.sources.eventlog import is_event_file, list_files, order_lines, scan_lines
+from jobscope.sources.events import recognise_lines
 
+#: Bytes, or lines of a compressed file, that one task writes.
+CHUNK_BITS = 27
+KNOWN_FILES = "path string, name string, length bigint, modified timestamp"
 PARTIAL = ("attempts", "successes", "failures", "success_ms", "failed_ms", "speculative")
 
 
@@ -41,31 +43,36 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def stream_event_lines(spark: SparkSession, source: str, target: str, folder_is_log: bool = False) -> int:
+def stream_event_lines(spark: SparkSession, source: str, target: str) -> int:
     """One micro-batch of ingest: the recognised events of files that are new or have grown; returns their number.
 
     A streaming file source takes each path once and would miss lines appended to it later, and it reads framed files
     as text.  So files are compared with those ingested before by path, length and time, and whatever changed goes
     through the batch scan, framed files included.  The events of a file have a folder of their own, which is replaced
-    as a whole: a batch that is repeated after a failure changes nothing.  Order comes from file name and position.
+    as a whole: a batch that is repeated after a failure changes nothing.  Events are stored with their place in their
+    file; which log a file belongs to, and its place there, is decided on reading, when all files are known.
     """
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
-               .select("path", "length", F.col("modificationTime").alias("modified")))  # contents are not read
-    known = _stored(spark, f"{target}/files", "path string, length bigint, modified timestamp")
-    changed = listing.where(is_event_file(base_name(F.col("path")))).join(known, ["path", "length", "modified"], "left_anti")
+    listing = list_files(spark, source)
+    known = _stored(spark, f"{target}/files", KNOWN_FILES)
+    changed = listing.where(is_event_file(F.col("name"))).join(
+        known, ["path", "length", "modified"], "left_anti").select(*listing.columns)
     rows = changed.collect()  # as the listing itself, this is known to the driver
     if not rows:
         return 0
-    lines = scan_event_lines(spark, [r["path"] for r in rows], folder_is_log)
-    (recognise_events(lines).withColumn("file", F.hex(F.xxhash64("seq.file")))
+    # a file's events go to few tasks, each of which writes a chunk of the file
+    (recognise_lines(scan_lines(spark, [r["place_to_read"] for r in rows])).withColumn("file", F.hex(F.xxhash64("path")))
+     .repartition("file", F.shiftright("at", CHUNK_BITS))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(f"{target}/events"))
-    spark.createDataFrame(rows, listing.schema).write.mode("append").parquet(f"{target}/files")
+    (spark.createDataFrame(rows, listing.schema).drop("place_to_read").coalesce(1)
+     .write.mode("append").parquet(f"{target}/files"))
     return len(rows)
 
 
-def read_event_lines(spark: SparkSession, target: str) -> DataFrame:
-    """All events ingested so far."""
-    return _stored(spark, f"{target}/events", f"log_id string, seq {SEQ_TYPE}, event string, value string")
+def read_event_lines(spark: SparkSession, target: str, folder_is_log: bool = False) -> DataFrame:
+    """All events ingested so far, ``(log_id, seq, event, value)``."""
+    lines = _stored(spark, f"{target}/events", "path string, name string, at bigint, event string, value string")
+    files = _stored(spark, f"{target}/files", KNOWN_FILES).dropDuplicates(["path"])
+    return order_lines(lines, files, folder_is_log)
 
 
 def follow_event_lines(spark: SparkSession, source: str, target: str, interval: str = "1 minute") -> StreamingQuery:

@@ -28,7 +28,7 @@ def _zero(*names: str) -> str:
 
 
 CTE: dict[str, str] = {
-    "b": f"select *, {_cols(tb.LINE_BASE)}, 4 * row_number() over (order by l_orderkey, l_linenumber, l_partkey, "
+    "b": f"select *, {_cols(tb.LINE_BASE)}, 4 * row_number() over (order by l_orderkey, l_linenumber, "
          "cast(round(l_extendedprice * 100) as bigint)) as rn from lineitem",
     "attempts": _line_view(tb.ATTEMPTS, tb.TASK_SLOT),
     "stage_events": f"select * from ({_line_view(tb.STAGE_EVENTS, tb.STAGE_SLOT)}) where stage_id is not null",

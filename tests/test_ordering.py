@@ -3,12 +3,13 @@ import random
 from pyspark.sql import functions as F
 
 from jobscope.operators.findings import complete_instance_ids, duplicate_instance_ids
-from jobscope.operators.order_stats import order_statistics, sorted_samples, value_counts
+from jobscope.operators.attempts import logical_tasks
+from jobscope.operators.order_stats import histogram_bucket, order_statistics, sorted_samples, value_counts
 from jobscope.ordering import carry_forward, make_seq, number_rows, seq_bucket
 
 
 def seq(block, line):
-    return make_seq(F.lit(1), F.lit("f"), F.col(block), F.col(line)).alias("seq")
+    return make_seq(F.lit(1), F.col(block) * 4096 + F.col(line)).alias("seq")
 
 
 def events(spark, n=3000, seed=1):
@@ -101,8 +102,37 @@ def test_instance_ids(spark):
 
 
 def test_buckets_follow_the_order(spark):
-    rows = [(b, n) for b in (0, 1, 4000, 5000) for n in (0, 5, 20_000, 100_000)]
+    rows = [(b, n) for b in (0, 1, 40_000, 5_000_000) for n in (0, 5, 20_000, 4_000_000)]
     df = spark.createDataFrame(rows, "block long, line long").select(
-        make_seq(F.lit(1), F.lit("f"), F.col("block"), F.col("line")).alias("seq"))
+        seq("block", "line"))
     buckets = [r["b"] for r in df.orderBy("seq").select(seq_bucket(F.col("seq")).alias("b")).collect()]
     assert buckets == sorted(buckets) and len(set(buckets)) > 4
+
+
+def test_places_beyond_their_range_are_the_last(spark):
+    df = spark.createDataFrame([(1, 5), (1, 1 << 41), (1 << 50, 3), (2, 0)], "f long, at long").select(make_seq(F.col("f"), F.col("at")))
+    values = [r[0] for r in df.collect()]
+    assert values[0] < values[1] < values[3] < values[2]
+
+
+def test_histogram_buckets_follow_the_values(spark):
+    edges = [s * ((1 << p) + d) for p in range(63) for d in (-1, 0, 1) for s in (1, -1)] + [(1 << 63) - 1, -(1 << 63), 0]
+    rng = random.Random(4)
+    values = sorted({v for v in edges if -(1 << 63) <= v < 1 << 63} | {rng.randrange(-(1 << 62), 1 << 62) >> rng.randrange(62) for _ in range(3000)})
+    df = spark.createDataFrame([(v,) for v in values], "v long").select("v", histogram_bucket(F.col("v")).alias("b"))
+    got = [r["b"] for r in df.orderBy("v").collect()]
+    assert got == sorted(got)
+    assert all(b == v for v, b in zip(values, got) if 0 <= v < 256)
+    width = {}
+    for v, b in zip(values, got):
+        width.setdefault(b, []).append(abs(v))
+    assert all(max(vs) - min(vs) <= max(vs) / 250 for vs in width.values() if max(vs) > 256)
+
+
+def test_first_success_is_folded_without_sorting(spark):
+    attempts = spark.createDataFrame([("a", 1, 0, i % 5, i, True, False, "Success", 1, 2, 3, 4, "e", "h", i) for i in range(50)],
+        "log_id string, stage_id int, stage_attempt_id int, task_index long, task_id long, success boolean, speculative boolean, "
+        "reason string, duration_ms long, shuffle_read_bytes long, memory_bytes_spilled long, disk_bytes_spilled long, "
+        "executor_id string, host string, seq long")
+    plan = logical_tasks(attempts)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort [" not in plan and plan.count("HashAggregate") >= 2

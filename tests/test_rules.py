@@ -15,7 +15,7 @@ BIGINTS = ["completed_tasks", "duration_samples", "duration_avg_ms", "duration_m
 WORKER = "struct<workers:bigint,worker_id:string,task_count:bigint,duration_ms:bigint,task_share:double,duration_share:double>"
 SCHEMA = ("log_id string, stage_id int, outcome string, completion struct<stage_name:string,failure_reason:string>, "
           f"all_reasons array<string>, attempt_reasons array<string>, executors {WORKER}, hosts {WORKER}, "
-          "first_seq struct<part:bigint,file:string,block:bigint,line:bigint>, " + ", ".join(f"{b} bigint" for b in BIGINTS))
+          "first_seq bigint, " + ", ".join(f"{b} bigint" for b in BIGINTS))
 
 
 def base(**values):

@@ -148,7 +148,7 @@ def test_awkward_values(spark):
         ("b", '{"Event":"SparkListenerApplicationStart","Event":"SparkListenerApplicationStart"}'),
         ("c", '{"Event":"SparkListenerApplicationStart"'), ("d", "5"), ("d", '{"Event":"SparkListenerApplicationEnd"}')]
     rows = spark.createDataFrame(lines, "log_id string, value string").withColumn(
-        "seq", make_seq(F.lit(0), F.lit("f"), F.lit(0), F.monotonically_increasing_id()))
+        "seq", make_seq(F.lit(0), F.monotonically_increasing_id()))
     status = {r["log_id"]: r["status"] for r in ev.validate_logs(rows).collect()}
     assert status == {"a": "ok", "b": "ok", "c": "corrupt", "d": "ok"}
     pairs = ev.driver_accum_updates(ev.recognise_events(rows)).collect()
@@ -161,3 +161,52 @@ def test_plans_that_are_no_trees(spark):
                                   "log_id string, execution_id long, plan_json string")
     got = {r["execution_id"]: [n["node_name"] for n in r["nodes"]] for r in flatten_plans(plans).collect()}
     assert got == {1: [None], 3: ["A"], 4: [None]}
+
+
+@pytest.mark.parametrize("suffix, pack", [(".lz4", lz4), (".snappy", snappy)])
+def test_one_damaged_file_marks_its_log(spark, tmp_path, suffix, pack):
+    """Cut off inside a block, no framing at all, a length that can't be: other logs carry on."""
+    data = pack(text())
+    (tmp_path / f"good{suffix}").write_bytes(data)
+    (tmp_path / f"cut{suffix}").write_bytes(data[:-len(data) // 3])
+    (tmp_path / f"none{suffix}").write_bytes(b"plain text\n")
+    (tmp_path / f"wrong{suffix}").write_bytes(data[:200] + b"\xff" * 40 + data[240:])
+    (tmp_path / f"empty{suffix}").write_bytes(b"")
+    lines = scan_event_lines(spark, str(tmp_path))
+    status = {r["log_id"].rsplit("/", 1)[1].split(".")[0]: r["status"] for r in ev.validate_logs(lines).collect()}
+    assert status.pop("good") == "ok" and set(status.values()) == {"corrupt"} and {"cut", "none", "wrong"} <= set(status)
+    cut = lines.where(F.col("log_id").contains("/cut")).count()
+    assert 1 < cut < len(LINES) + 1
+    assert lines.where(F.col("log_id").contains("/good")).count() == len(LINES)
+
+
+def test_line_ends_across_blocks():
+    from jobscope.sources.codecs import file_lines
+
+    plain = b"a\r\nb\rc\n\r\nd\r" + b"e" * 1000 + b"\r\n" + "é😀".encode() * 50
+    want = [x for x in plain.decode().replace("\r\n", "\n").replace("\r", "\n").split("\n") if x]
+    for size in (1, 2, 3, 7, 300):
+        out = b""
+        for i in range(0, len(plain), size):
+            out += b"LZ4Block" + bytes([0x16]) + struct.pack("<iii", len(plain[i:i + size]), len(plain[i:i + size]), 0) + plain[i:i + size]
+        assert [x for x in file_lines("x.lz4", out) if x] == want
+
+
+def test_parts_with_one_number_follow_their_paths(spark, tmp_path):
+    folder = tmp_path / "eventlog_v2_app"
+    write_log(folder / "events_1_b", LINES[2:4])
+    write_log(folder / "events_1_a", LINES[:2])
+    write_log(folder / "events_2_a", LINES[4:])
+    rows = scan_event_lines(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [json.loads(r["value"])["Event"] for r in rows] == [x["Event"] for x in LINES]
+
+
+def test_one_bad_value_spoils_no_other_plan(spark):
+    metric = '{"nodeName":"A","simpleString":"a","metrics":[{"name":"m","accumulatorId":%s,"metricType":"sum"}]}'
+    given = {1: metric % "7", 2: metric % "1e400", 3: metric % "99999999999999999999", 4: metric % '"-9223372036854775808"',
+             5: '{"nodeName":"\\ud800B","simpleString":"\\udc00"}', 6: metric % "NaN", 7: metric % '"1e5"', 8: "{", 9: metric % "[1]"}
+    plans = spark.createDataFrame([("a", i, p) for i, p in given.items()], "log_id string, execution_id long, plan_json string")
+    got = {r["execution_id"]: r["nodes"][0] for r in flatten_plans(plans).collect()}
+    ids = {i: n["metrics"][0]["accumulator_id"] for i, n in got.items() if n["metrics"]}
+    assert ids == {1: 7, 2: 0, 3: 0, 4: -(1 << 63), 6: 0, 7: 0, 9: 0}
+    assert (got[5]["node_name"], got[5]["simple_string"], got[8]["node_name"]) == ("?B", "?", None)
