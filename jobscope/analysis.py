@@ -76,6 +76,8 @@ def analyze(lines: DataFrame, *, limits: Limits = DEFAULT_LIMITS, extra_rules: l
         events.select("log_id"), job_table, stage_table, at.tasks_without_stage(attempts), found)
     apps = jobs.applications(ev.application_events(events))
     of_latest = latest.select(*at.ATTEMPT)
+    severities = fd.severity_counts(found)
+    hotspots = fd.stage_hotspots(fd.hotspot_inputs(stage_table, found))
     workers = worker_summary(worker_totals(tasks, at.worker_names(attempts)), metrics).join(of_latest, [*at.ATTEMPT], "left_semi")
     samples = sorted_samples(value_counts(tasks)).join(of_latest, [*at.ATTEMPT], "left_semi")
     return {
@@ -95,12 +97,12 @@ def analyze(lines: DataFrame, *, limits: Limits = DEFAULT_LIMITS, extra_rules: l
         "plan_graph_edges": plan_graph_edges(plans),
         "findings": found,
         "recommendations": advice,
-        "severity_counts": fd.severity_counts(found),
+        "severity_counts": severities,
         "top_findings": fd.top_findings(found),
-        "hotspots": fd.stage_hotspots(fd.hotspot_inputs(stage_table, found)),
+        "hotspots": hotspots,
         "report": report.report_rows(apps, summary, stage_table, executions, counts, failed, found, advice,
                                      workers, samples),
-        "recommendation_report": report.recommendation_report(advice, found),
+        "recommendation_report": report.recommendation_report(apps, summary, severities, hotspots, advice, found),
         "sql_report": report.sql_execution_report(
             executions, counts, sqlexec.operator_categories(counts), duplicates),
     }

@@ -182,8 +182,7 @@ def _suppressed(spark: SparkSession, d: str) -> DataFrame:
 
 def _linked(spark: SparkSession, d: str) -> DataFrame:
     """Every second recommendation forgets its finding and is linked by turn."""
-    found = fd.number_findings(materialize(_stage_findings(_stored_stages(spark, d)), "findings"))
-    found = materialize(found.select("log_id", "position", "type", "stage_id", "instance_id"), "numbered")
+    found = materialize(_numbered(spark, d).select("log_id", "position", "type", "stage_id", "instance_id"), "numbered")
     given = found.select("log_id", "position", "type", "stage_id",
                          F.when(F.col("position") % 2 == 0, F.col("instance_id")).alias("related_id"))
     return advise.link_recommendations(given, found)
@@ -268,8 +267,7 @@ def _first_seen(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _instance_ids(spark: SparkSession, d: str) -> DataFrame:
-    found = materialize(_stage_findings(_stored_stages(spark, d)), "findings")
-    return fd.number_findings(found).select("log_id", "type", "stage_id", "instance_id")
+    return _numbered(spark, d).select("log_id", "type", "stage_id", "execution_id", "instance_id")
 
 
 def _scaled_bytes(spark: SparkSession, d: str) -> DataFrame:
@@ -286,14 +284,11 @@ def _scaled_millis(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    return fd.evidence_rows(materialize(_stage_findings(_stored_stages(spark, d)), "findings"), "log_id", "stage_id", "type")
+    return fd.evidence_rows(materialize(_findings(spark, d), "findings"), "log_id", "stage_id", "execution_id", "type")
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    found = _stage_findings(_stored_stages(spark, d)).where(
-        F.col("type").isin("low_shuffle_parallelism", "retry_waste"))
-    advice = advise.recommend(found.withColumn("position", F.lit(0)).withColumn("instance_id", F.lit("")))
-    return advice.select("log_id", "stage_id", "type", "description")
+    return advise.recommend(_numbered(spark, d)).select("log_id", "position", "type", "title", "description")
 
 
 def _sql_report(spark: SparkSession, d: str) -> DataFrame:
@@ -302,31 +297,46 @@ def _sql_report(spark: SparkSession, d: str) -> DataFrame:
     rows = report.sql_execution_report(
         _executions(spark, d), counts, sqlexec.operator_categories(counts), subtrees.duplicate_subtrees(plans))
     named = F.transform("operators", lambda o: F.concat(o["name"], F.lit("="), o["count"].cast("string")))
-    repeated = F.transform("repeated_subtrees", lambda r: F.concat(r["root"], F.lit("x"), r["count"].cast("string")))
-    return rows.select(*EXECUTION, "description", "status", "exchanges", "sorts", "scans", named.alias("operators"),
-                       F.coalesce(F.array_join(repeated, ","), F.lit("")).alias("repeated"))
+    repeated = F.transform("repeated_subtrees", lambda r: F.concat_ws(
+        "/", r["root"], r["count"], r["subtree_size"], r["subtree_depth"], F.array_join(r["operators"], "+"),
+        F.array_join(r["interesting"], "+")))
+    return rows.withColumns({"operators": named, "repeated_subtrees": F.coalesce(F.array_join(repeated, ","), F.lit(""))})
 
 
 def _report_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     attempts, plans = tb.attempts(spark, d), tb.plans(spark, d)
+    tasks = materialize(_tasks(spark, d), "tasks")
+    latest = materialize(_latest(spark, d).select(*ATTEMPT), "latest")
+    totals = workers.worker_totals(tasks, at.worker_names(attempts))
     counts = sqlexec.operator_counts(flatten.plan_nodes(plans))
-    table = materialize(_stored_stages(spark, d), "stages")
+    table = materialize(stages(attempts, tb.stage_events(spark, d), tasks=tasks), "stages")
     found = materialize(fd.number_findings(materialize(_findings(spark, d, table), "findings")), "numbered")
     state = _jobs(spark, d)
     return {
         "applications": jobs.applications(tb.application_events(spark, d)),
         "summary": jobs.summary_counts(attempts, state, table, at.tasks_without_stage(attempts), found),
         "stages": table, "executions": _executions(spark, d), "operator_counts": counts,
-        "failed_jobs": jobs.failed_jobs(state), "findings": found, "recommendations": advise.recommend(found)}
+        "failed_jobs": jobs.failed_jobs(state), "findings": found, "recommendations": advise.recommend(found),
+        "workers": workers.worker_summary(totals, at.stage_attempt_metrics(tasks)).join(latest, [*ATTEMPT], "left_semi"),
+        "samples": order_stats.sorted_samples(order_stats.value_counts(tasks)).join(latest, [*ATTEMPT], "left_semi")}
 
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
-    return report.report_rows(**_report_tables(spark, d))
+    """The report's rows, taken apart into their entries; shares in four digits, rows of workers and samples as a whole."""
+    rows = report.report_rows(**_report_tables(spark, d))
+    listed = F.col("section").isin(*report.SAMPLE_SECTIONS.values(), "executorSummaries", "hostSummaries")
+    four = lambda x: F.call_function("format_number", x.cast("double"), F.lit("0.0000"))
+    fields = F.transform(F.map_entries(F.from_json("json", "map<string,string>")), lambda e: F.struct(
+        e["key"].alias("entry"), F.when(e["key"].endswith("Share"), four(e["value"])).otherwise(e["value"]).alias("value")))
+    one = F.array(F.struct(F.lit("row").alias("entry"), F.array_join(fields["value"], "|").alias("value")))
+    return rows.select("log_id", "section", "position", F.inline(F.when(listed, one).otherwise(fields))).where("value is not null")
 
 
 def _recommendation_report(spark: SparkSession, d: str) -> DataFrame:
-    found = materialize(_numbered(spark, d), "numbered")
-    return report.recommendation_report(advise.recommend(found), found)
+    t = _report_tables(spark, d)
+    hotspots = fd.stage_hotspots(fd.hotspot_inputs(t["stages"], t["findings"]))
+    return report.recommendation_report(t["applications"], t["summary"], fd.severity_counts(t["findings"]), hotspots,
+                                        t["recommendations"], t["findings"])
 
 
 def _flattened(spark: SparkSession, d: str) -> DataFrame:

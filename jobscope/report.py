@@ -113,18 +113,49 @@ def report_rows(applications: DataFrame, summary: DataFrame, stages: DataFrame,
     return out
 
 
-def recommendation_report(recommendations: DataFrame, findings: DataFrame) -> DataFrame:
-    """Recommendations with their scope and one row per evidence entry; one row without an entry if there is none."""
+def _entries(df: DataFrame, section: str, position: Column, entries: dict[str, Column]) -> DataFrame:
+    """One row per entry that has a value."""
+    listed = F.array(*[F.struct(F.lit(k).alias("entry"), v.cast("string").alias("value")) for k, v in entries.items()])
+    return df.select("log_id", F.lit(section).alias("section"), position.cast("bigint").alias("position"), F.inline(listed)).where(
+        F.col("value").isNotNull())
+
+
+def recommendation_report(applications: DataFrame, summary: DataFrame, severities: DataFrame, hotspots: DataFrame,
+                          recommendations: DataFrame, findings: DataFrame) -> DataFrame:
+    """The recommendation report, ``log_id, section, position, entry, value``: the application, the counts with the
+    severities, the stages that stand out by rank, and the recommendations by position with the evidence of their findings.
+    """
+    c = F.col
+    unknown = lambda x: F.coalesce(x.cast("string"), F.lit("unknown"))
+    zero = F.lit(0)
+    known = summary.join(applications, "log_id", "left").join(
+        severities.select("log_id", c("summary").alias("severities")), "log_id", "left")
     named = findings.withColumnRenamed("instance_id", "related_id")
-    entries = evidence_rows(named, "log_id", "related_id")
-    return (
-        recommendations.join(named.select("log_id", "related_id", "execution_id"), ["log_id", "related_id"])
-        .join(entries, ["log_id", "related_id"], "left")
-        .select("log_id", "position", "title", "severity",
-                scope_text(F.col("stage_id"), F.col("execution_id")).alias("scope"),
-                F.col("type").alias("related_type"), F.col("key").alias("evidence_key"),
-                F.col("display").alias("evidence_display"), "description")
-    )
+    advice = recommendations.join(named.select("log_id", "related_id", "execution_id"), ["log_id", "related_id"])
+    scope = scope_text(c("stage_id"), c("execution_id"))
+    counts = ("jobs", "jobs_completed", "jobs_failed", "stages", "stages_completed", "stages_failed", "tasks", "issues")
+    evidence = evidence_rows(named, "log_id", "position")
+    parts = [
+        _entries(known, "application", zero, {
+            "name": text_or_unknown(c("app_name")), "id": text_or_unknown(c("app_id")), "durationMillis": unknown(c("duration_ms"))}),
+        _entries(known, "summary", zero, {n: c(n) for n in counts} | {"severities": F.coalesce("severities", F.lit("none"))}),
+        _entries(hotspots, "hotspots", c("rank"), {
+            "stageId": c("stage_id"), "name": text_or_unknown(c("stage_name")), "issues": c("issues"),
+            "failed": F.when(c("failed"), F.lit("true")), "completedTasks": c("completed_tasks"),
+            "avgTaskDurationMillis": unknown(c("duration_avg_ms")), "maxTaskDurationMillis": unknown(c("duration_max_ms")),
+            "shuffleReadBytes": c("shuffle_total_bytes"), "memoryBytesSpilled": c("memory_total_bytes"),
+            "diskBytesSpilled": c("disk_total_bytes")}),
+        _entries(advice, "recommendations", c("position"), {
+            "title": c("title"), "severity": c("severity"), "scope": scope, "relatedBottleneck": c("type"),
+            "description": c("description")}),
+        # a recommendation has the position of its finding
+        evidence.join(recommendations.select("log_id", "position"), ["log_id", "position"], "left_semi").select(
+            "log_id", F.lit("evidence").alias("section"), "position", c("key").alias("entry"), c("display").alias("value")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def sql_execution_report(executions: DataFrame, operator_counts: DataFrame, categories: DataFrame,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from jobscope import report
 from jobscope.operators import advise
 from jobscope.sources import tables as tb
 
@@ -395,8 +396,33 @@ NUMBERED = ("numbered", "select *, row_number() over (partition by log_id order
                         "from findings")
 
 
-def findings_sql(body: str) -> str:
-    return with_ctes(body, FINDINGS, NUMBERED)
+SUMMARY = ("summary", "select a.log_id, coalesce(j.jobs, 0) as jobs, coalesce(j.c, 0) as jobs_completed, coalesce(j.f, 0) as jobs_failed, "
+               "coalesce(s.n, 0) as stages, coalesce(s.c, 0) as stages_completed, coalesce(s.f, 0) as stages_failed, "
+               "coalesce(s.t, 0) + coalesce(l.n, 0) as tasks, coalesce(i.n, 0) as issues from "
+               "(select distinct log_id from attempts) a "
+               "left join (select log_id, count(*) as jobs, count(*) filter (where state = 'completed') as c, "
+               "count(*) filter (where state = 'failed') as f from jobs group by all) j using (log_id) "
+               "left join (select log_id, count(*) as n, count(*) filter (where outcome = 'completed') as c, "
+               "count(*) filter (where outcome = 'failed') as f, sum(completed_tasks)::bigint as t from stages group by all) s "
+               "using (log_id) left join (select log_id, count(distinct task_id) as n from attempts where success and "
+               "(stage_id is null or task_index is null) group by all) l using (log_id) "
+               "left join (select log_id, count(*) as n from findings group by all) i using (log_id)")
+SEVERITIES = ("severities", "select *, concat_ws(', ', case when high > 0 then 'high=' || high end, case when medium > 0 then 'medium=' || medium "
+            "end) as summary from (select log_id, count(*) filter (where severity = 'high') as high, count(*) filter "
+            "(where severity = 'medium') as medium, count(*) filter (where severity = 'low') as low from findings group by all)")
+APPLICATIONS = ("applications", "select g.log_id, s.app_id, s.app_name, s.time_ms as start_ms, e.time_ms as end_ms, "
+            "e.time_ms - s.time_ms as duration_ms from (select log_id, max(seq) filter (where is_start) as started, "
+            "max(seq) filter (where not is_start) as ended from app_events group by all) g "
+            "left join app_events s on s.seq = g.started left join app_events e on e.seq = g.ended")
+HOTSPOTS = ("hotspots", "select * from (select *, row_number() over (partition by log_id order by failed desc, issues desc, "
+            "coalesce(duration_max_ms, 0) desc, shuffle_total_bytes desc, memory_total_bytes + disk_total_bytes desc, stage_id) as rank "
+            "from (select s.*, s.outcome = 'failed' as failed, coalesce(i.n, 0) as issues from stages s left join (select log_id, stage_id, "
+            "count(*) as n from findings where stage_id >= 0 group by all) i using (log_id, stage_id)) where failed or issues > 0 or "
+            "duration_max_ms > 0 or shuffle_total_bytes > 0 or memory_total_bytes + disk_total_bytes > 0) where rank <= 5")
+
+
+def findings_sql(body: str, *more: tuple[str, str]) -> str:
+    return with_ctes(body, FINDINGS, NUMBERED, *more)
 
 
 def _number(x: str, unit: int, label: str) -> str:
@@ -477,6 +503,12 @@ PARSED = {
 }
 
 
+_CATEGORIES = {
+    "exchanges": "node_name like '%Exchange%'", "sorts": "node_name = 'Sort'", "hashaggregates": "node_name like '%HashAggregate%'",
+    "joins": "node_name like '%Join%'", "scans": "node_name like '%Scan%'",
+    "aqe_nodes": "node_name = 'AdaptiveSparkPlan' or node_name like 'AQE%' or node_name like '%QueryStage'"}
+
+
 def oracle_sql() -> dict[str, str]:
     w = with_ctes
     latest = "join latest l using (log_id, stage_id, stage_attempt_id)"
@@ -497,11 +529,7 @@ def oracle_sql() -> dict[str, str]:
         "task_attempts": w(f"select {K}, task_index, task_id, success, reason, speculative, duration_ms, shuffle_read_bytes, "
                            "memory_bytes_spilled, disk_bytes_spilled, executor_id, host from attempts"),
         "task_success": w("select log_id, success, reason, count(*) as n from attempts group by all"),
-        "application_events": w(
-            "select g.log_id, s.app_id, s.app_name, s.time_ms as start_ms, e.time_ms as end_ms, "
-            "e.time_ms - s.time_ms as duration_ms from (select log_id, max(seq) filter (where is_start) as started, "
-            "max(seq) filter (where not is_start) as ended from app_events group by all) g "
-            "left join app_events s on s.seq = g.started left join app_events e on e.seq = g.ended"),
+        "application_events": w("select * from applications", APPLICATIONS),
         "latest_stage_attempt": w("select log_id, stage_id, stage_attempt_id from latest"),
         "stage_outcome": w(f"select {K}, stage_name, failure_reason, outcome from outcome"),
         "stage_execution_asof": w("select log_id, stage_id, stage_attempt_id, execution_id from asof_"),
@@ -513,9 +541,8 @@ def oracle_sql() -> dict[str, str]:
         "suppress_duplicates": findings_sql(
             "select log_id, type, stage_id, execution_id from findings where type in "
             "('duplicate_sql_subtree', 'possible_missed_exchange_reuse')"),
-        "link_recommendations": with_ctes(
-            "select log_id, position, type, stage_id, 'bottleneck-' || position as related_id, 'linked' as status from numbered",
-            STAGE_FINDINGS, NUMBERED),
+        "link_recommendations": findings_sql(
+            "select log_id, position, type, stage_id, 'bottleneck-' || position as related_id, 'linked' as status from numbered"),
         "hotspot_inputs": with_ctes(
             "select s.log_id, s.stage_id, s.stage_name, s.outcome = 'failed' as failed, coalesce(i.n, 0) as issues, "
             "s.completed_tasks, s.duration_avg_ms, s.duration_max_ms, s.shuffle_total_bytes, s.memory_total_bytes, "
@@ -524,18 +551,7 @@ def oracle_sql() -> dict[str, str]:
         "subtree_self_join": w("select log_id, execution_id, ord, operators from shapes"),
         "subtree_shape": w("select log_id, execution_id, ord, subtree_size, subtree_depth from shapes"),
         "preorder_end": w("select log_id, execution_id, ord, end_ord from spans"),
-        "summary_counts": findings_sql(
-            "select a.log_id, coalesce(j.jobs, 0) as jobs, coalesce(j.c, 0) as jobs_completed, coalesce(j.f, 0) as jobs_failed, "
-            "coalesce(s.n, 0) as stages, coalesce(s.c, 0) as stages_completed, coalesce(s.f, 0) as stages_failed, "
-            "coalesce(s.t, 0) + coalesce(l.n, 0) as tasks, coalesce(i.n, 0) as issues from "
-            "(select distinct log_id from attempts) a "
-            "left join (select log_id, count(*) as jobs, count(*) filter (where state = 'completed') as c, "
-            "count(*) filter (where state = 'failed') as f from jobs group by all) j using (log_id) "
-            "left join (select log_id, count(*) as n, count(*) filter (where outcome = 'completed') as c, "
-            "count(*) filter (where outcome = 'failed') as f, sum(completed_tasks)::bigint as t from stages group by all) s "
-            "using (log_id) left join (select log_id, count(distinct task_id) as n from attempts where success and "
-            "(stage_id is null or task_index is null) group by all) l using (log_id) "
-            "left join (select log_id, count(*) as n from findings group by all) i using (log_id)"),
+        "summary_counts": findings_sql("select * from summary", SUMMARY),
         "job_state": w("select log_id, job_id, result, state, case when state = 'failed' then row_number() over "
                        "(partition by log_id, state order by failed_seq) end as failed_rank from jobs"),
         "stage_details": w(f"select {K}, stage_name, num_tasks from details"),
@@ -582,10 +598,7 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_subtrees": w("select log_id, execution_id, root, count, subtree_size, subtree_depth, operators, "
                                 "coalesce(interesting, '') as interesting, row_number() over (partition by log_id, execution_id "
                                 "order by subtree_size desc, count desc, subtree_depth desc, root, first_ord) as rank from telling"),
-        "severity_counts": findings_sql(
-            "select *, concat_ws(', ', case when high > 0 then 'high=' || high end, case when medium > 0 then 'medium=' || medium "
-            "end) as summary from (select log_id, count(*) filter (where severity = 'high') as high, count(*) filter "
-            "(where severity = 'medium') as medium, count(*) filter (where severity = 'low') as low from findings group by all)"),
+        "severity_counts": findings_sql("select * from severities", SEVERITIES),
         "issue_count_by_stage": with_ctes("select log_id, stage_id, count(*) as issues from findings group by all", STAGE_FINDINGS),
         "top_bottlenecks": findings_sql(
             "select log_id, rank, type, severity, message from (select *, row_number() over (partition by log_id order by "
@@ -598,8 +611,8 @@ def oracle_sql() -> dict[str, str]:
             "s.memory_total_bytes, s.disk_total_bytes from stages s left join (select log_id, stage_id, count(*) as n from "
             "findings group by all) i using (log_id, stage_id)) where failed or issues > 0 or duration_max_ms > 0 or "
             "shuffle_total_bytes > 0 or memory_total_bytes + disk_total_bytes > 0) where rank <= 5", STAGE_FINDINGS),
-        "bottleneck_instance_id": with_ctes(
-            "select log_id, type, stage_id, 'bottleneck-' || position as instance_id from numbered", STAGE_FINDINGS, NUMBERED),
+        "bottleneck_instance_id": findings_sql(
+            "select log_id, type, stage_id, execution_id, 'bottleneck-' || position as instance_id from numbered"),
         "stage_first_seen": w("select log_id, stage_id, row_number() over (partition by log_id order by first_seq) as position "
                               "from latest"),
         "last_completion": w(f"select {K}, stage_name, num_tasks, failure_reason from completions"),
@@ -632,18 +645,21 @@ def oracle_sql() -> dict[str, str]:
             f"as labels from (select log_id, execution_id, ord, pos, {_METRIC_LABEL} as label from ({_METRIC_VALUES}) "
             "where metric_name is not null qualify row_number() over (partition by log_id, execution_id, ord order by pos) <= 5) "
             "group by log_id, execution_id, ord) l using (log_id, execution_id, ord)"),
-        "evidence_rows": with_ctes(_evidence_body(), ("figures", _evidence_figures())),
-        "recommendation_text": with_ctes(_text_body(), *[("spoken", _text_parts())]),
+        "evidence_rows": with_ctes(_evidence_body(), FIGURES),
+        "recommendation_text": findings_sql(_text_body(), SPOKEN),
+        "recommendation_report": findings_sql(_recommendation_report(), SUMMARY, SEVERITIES, APPLICATIONS, HOTSPOTS, SPOKEN, FIGURES),
+        "report_rows": findings_sql(_report_rows(), SUMMARY, APPLICATIONS, SPOKEN, FIGURES),
         "sql_execution_report": w(
-            "select x.log_id, x.execution_id, coalesce(x.description, 'unknown') as description, "
-            "case when trim(x.error_message) <> '' then 'failed' when x.end_ms is null then 'unknown' else 'success' end "
-            "as status, c.exchanges, c.sorts, c.scans, c.operators, coalesce(d.repeated, '') as repeated from executions x "
-            "join (select log_id, execution_id, coalesce(sum(n) filter (where node_name like '%Exchange%'), 0)::bigint as exchanges, "
-            "coalesce(sum(n) filter (where node_name = 'Sort'), 0)::bigint as sorts, sum(n) filter (where node_name like "
-            "'%Scan%')::bigint as scans, string_agg(node_name || '=' || n, ',' order by n desc, node_name) as operators from "
-            "(select log_id, execution_id, node_name, count(*) as n from nodes group by all) group by all) c "
-            "using (log_id, execution_id) left join (select log_id, execution_id, string_agg(root || 'x' || count, ',' order by "
-            "subtree_size desc, count desc, subtree_depth desc, root, first_ord) as repeated from duplicates group by all) d "
+            "select x.log_id, x.execution_id, coalesce(x.description, 'unknown') as description, x.root_execution_id, x.start_ms, x.end_ms, "
+            "x.duration_ms, case when trim(x.error_message) <> '' then 'failed' when x.end_ms is null then 'unknown' else 'success' end "
+            "as status, x.error_message, x.details, x.plan_description, x.latest_plan_description, c.* exclude (log_id, execution_id), "
+            "coalesce(d.repeated_subtrees, '') as repeated_subtrees from executions x join (select log_id, execution_id, "
+            + ", ".join(f"coalesce(sum(n) filter (where {match}), 0)::bigint as {name}" for name, match in _CATEGORIES.items())
+            + ", string_agg(node_name || '=' || n, ',' order by n desc, node_name) as operators from (select log_id, execution_id, node_name, "
+            "count(*) as n from nodes group by all) group by all) c using (log_id, execution_id) left join (select log_id, execution_id, "
+            "string_agg(concat_ws('/', root, count, subtree_size, subtree_depth, replace(operators, ',', '+'), "
+            "replace(coalesce(interesting, ''), ',', '+')), ',' order by "
+            "subtree_size desc, count desc, subtree_depth desc, root, first_ord) as repeated_subtrees from telling group by all) d "
             "using (log_id, execution_id)"),
         "sanitize_events": _sanitize_sql(),
         "sanitize_audit": _audit_sql(),
@@ -668,45 +684,210 @@ def oracle_sql() -> dict[str, str]:
     return sql
 
 
-_EVIDENCE_TEXTS = ("executorId", "host", "stageName", "failureReason")
+_EVIDENCE_TEXTS = ("executorId", "host", "stageName", "failureReason", "description", "topDuplicateRoot", "confidence",
+                   "confidenceReason", "validationRequired", "result")
+_TOP_KEYS = ("topDuplicateRoot", "topDuplicateCount", "topDuplicateSubtreeSize", "topDuplicateMaxDepth",
+             "topDuplicateInterestingOperators")
+PLAN_EVIDENCE = {
+    "sql_many_exchanges": ("sqlExecutionId", "exchangeCount", "minExchangeOperators", "description"),
+    "duplicate_sql_subtree": ("sqlExecutionId", "description", "duplicateGroups", *_TOP_KEYS),
+    "possible_missed_exchange_reuse": ("sqlExecutionId", "description", "duplicateExchangeGroups", *_TOP_KEYS, "confidence",
+                                       "confidenceReason", "validationRequired"),
+}
+_FINDING_KEY = "log_id, type, stage_id, execution_id, job_id"
+_SAME_FINDING = ("n.log_id = f.log_id and n.type = f.type and n.stage_id = f.stage_id and n.execution_id is not distinct from "
+                 "f.execution_id and n.job_id is not distinct from f.job_id")
+
+
+def _json_list(v: str) -> str:
+    return f"case when {v} = '' then '[]' else '[\"' || replace({v}, ',', '\",\"') || '\"]' end"
+
+
+def _figure(head: str, key: str, v: str, source: str) -> str:
+    value = display = f"({v})::varchar"
+    json = f"regexp_replace(({v})::varchar, '\\.0$', '')"
+    if key.endswith("Reasons") or key.endswith("InterestingOperators"):
+        value = json = _json_list(v)
+        display = f"replace({v}, ',', ', ')"
+    elif key in _EVIDENCE_TEXTS:
+        json = f"'\"' || {v} || '\"'"
+    elif "Bytes" in key or "Millis" in key:
+        human = human_bytes("x") if "Bytes" in key else human_millis("x")
+        display = f"(select x || ' (' || {human} || ')' from (select ({v})::bigint as x))"
+    return f"select {head}, '{key}' as key, {value} as value, {display} as display, {json} as json from {source}"
 
 
 def _evidence_figures() -> str:
-    """Every entry of every stage finding: its JSON text, and its display."""
+    """Every entry of every finding: its text, its display, and its JSON."""
     parts = []
     for name, (where, _severity, evidence, *_rest) in STAGE_RULES.items():
-        for key, v in evidence.items():
-            value = display = f"({v})::varchar"
-            if key.endswith("Reasons"):
-                value = f"case when {v} = '' then '[]' else '[\"' || replace({v}, ',', '\",\"') || '\"]' end"
-                display = f"replace({v}, ',', ', ')"
-            elif key not in _EVIDENCE_TEXTS and ("Bytes" in key or "Millis" in key):
-                human = human_bytes("x") if "Bytes" in key else human_millis("x")
-                display = f"(select x || ' (' || {human} || ')' from (select ({v})::bigint as x))"
-            parts.append(f"select log_id, stage_id, '{name}' as type, '{key}' as key, {value} as value, {display} as display "
-                         f"from stages where {where}")
+        head = f"log_id, '{name}' as type, stage_id, null::bigint as execution_id, null::bigint as job_id"
+        parts += [_figure(head, key, v, f"stages where {where}") for key, v in evidence.items()]
+    for name, keys in PLAN_EVIDENCE.items():
+        head = f"log_id, '{name}' as type, -1 as stage_id, \"sqlExecutionId\" as execution_id, null::bigint as job_id"
+        parts += [_figure(head, key, key if key == "description" else f'"{key}"', f"({PLAN_RULES[name][0]})") for key in keys]
+    head = "log_id, 'failed_job' as type, -1 as stage_id, null::bigint as execution_id, job_id"
+    parts += [_figure(head, key, v, "jobs where state = 'failed'")
+              for key, v in (("jobId", "job_id"), ("result", "coalesce(result, 'unknown')"))]
     return " union all ".join(parts)
 
 
+FIGURES = ("figures", _evidence_figures())
+
+
 def _evidence_body() -> str:
-    return "select * from figures"
+    return "select log_id, stage_id, execution_id, type, key, value, display from figures"
+
+
+def _sentences() -> dict[str, str]:
+    """What is said of each finding; plan findings and failed jobs name no figures."""
+    stage = "'Stage ' || stage_id"
+    some = lambda n, noun: f"{n} || ' {noun}' || case when {n} = 1 then '' else 's' end"
+
+    def crossed(value: str, limit: int, what: str) -> str:
+        return (f"case when {value} >= {limit} then ' {what} reached the medium threshold of ' || {human_bytes(str(limit))} || '.' "
+                "else '' end")
+
+    spill = f"{stage} || ' has tasks that spilled far more {{}} than the median.'"
+    return {
+        "task_duration_skew": f"{stage} || ' has tasks that ran far longer than the average.'",
+        "shuffle_partition_skew":
+            f"{stage} || ' has a task that read ' || {human_bytes('shuffle_max_bytes')} || ' of shuffle data against a median of ' || "
+            f"{human_bytes('median_shuffle_read_bytes')} || ', ' || round(shuffle_max_bytes::double / median_shuffle_read_bytes, 2) "
+            "|| ' times as much.'",
+        "oversized_shuffle_partitions":
+            f"{stage} || ' has ' || {some('shuffle_samples', 'shuffle-reading task')} || ' with a p95 of ' || "
+            f"{human_bytes('p95_shuffle_read_bytes')} || ' and a maximum of ' || {human_bytes('shuffle_max_bytes')} || '.' || "
+            + crossed("p95_shuffle_read_bytes", 256 * MIB, "The p95"),
+        "low_shuffle_parallelism":
+            f"{stage} || ' read ' || {human_bytes('shuffle_total_bytes')} || ' of shuffle data in only ' || "
+            f"{some('shuffle_samples', 'task')} || ', about ' || {human_bytes(SHUFFLE_AVG)} || ' each.'",
+        "spill_pressure":
+            f"{stage} || ' spilled ' || {human_bytes('disk_total_bytes')} || ' to disk and ' || {human_bytes('memory_total_bytes')} "
+            f"|| ' from memory over ' || {some('completed_tasks', 'completed task')} || '.' || "
+            + crossed("disk_total_bytes", 256 * MIB, "Disk spill"),
+        "memory_spill_skew": spill.format("memory"),
+        "disk_spill_skew": spill.format("to disk"),
+        "too_many_tiny_tasks": f"{stage} || ' ran many very short tasks.'",
+        "retry_waste":
+            f"{stage} || ' lost ' || {human_millis('all_failed_ms')} || ' in ' || {some('all_failed_attempts', 'failed task attempt')} || '.'",
+        "speculation_heavy": f"{stage} || ' ran many speculative task attempts.'",
+        "executor_imbalance": f"{stage} || ' ran mostly on one executor.'",
+        "host_imbalance": f"{stage} || ' ran mostly on one host.'",
+        "failed_stage":
+            f"{stage} || ' failed.' || case when trim(failure_reason) <> '' then ' Failure reason: ' || failure_reason || '.' else '' end "
+            f"|| case when failed_attempts > 0 then ' It had ' || {some('failed_attempts', 'failed task attempt')} || "
+            f"case when failed_ms > 0 then ' taking ' || {human_millis('failed_ms')} else '' end || '.' else '' end || "
+            "case when attempt_reasons <> '' then ' Task failure reasons: ' || replace(attempt_reasons, ',', ', ') || '.' else '' end",
+        "sql_many_exchanges": "'SQL execution ' || execution_id || ' has many exchanges in its physical plan.'",
+        "duplicate_sql_subtree": "'SQL execution ' || execution_id || ' repeats parts of its physical plan.'",
+        "possible_missed_exchange_reuse": "'SQL execution ' || execution_id || ' repeats an exchange in its physical plan.'",
+        "failed_job": "'A job failed before the application ended.'",
+    }
 
 
 def _text_parts() -> str:
-    low, waste = STAGE_RULES["low_shuffle_parallelism"], STAGE_RULES["retry_waste"]
     text = {t: a for t, _, _, a in advise.ADVICE}
-    return (
-        f"select log_id, stage_id, 'low_shuffle_parallelism' as type, 'Stage ' || stage_id || ' read ' || "
-        f"{human_bytes('shuffle_total_bytes')} || ' of shuffle data in only ' || shuffle_samples || ' task' || "
-        f"case when shuffle_samples = 1 then '' else 's' end || ', about ' || {human_bytes(SHUFFLE_AVG)} || ' each. "
-        f"{text['low_shuffle_parallelism']}' as description from stages where {low[0]} union all "
-        f"select log_id, stage_id, 'retry_waste', 'Stage ' || stage_id || ' lost ' || {human_millis('all_failed_ms')} || ' in ' "
-        f"|| all_failed_attempts || ' failed task attempt' || case when all_failed_attempts = 1 then '' else 's' end || '. "
-        f"{text['retry_waste']}' from stages where {waste[0]}")
+    parts = []
+    for name, sentence in _sentences().items():
+        said = f"{sentence} || ' {text[name]}' as description"
+        if name in STAGE_RULES:
+            parts.append(f"select log_id, '{name}' as type, stage_id, null::bigint as execution_id, null::bigint as job_id, {said} "
+                         f"from stages where {STAGE_RULES[name][0]}")
+        else:
+            parts.append(f"select {_FINDING_KEY}, {said} from findings where type = '{name}'")
+    return " union all ".join(parts)
+
+
+SPOKEN = ("spoken", _text_parts())
+TITLE = "case n.type " + " ".join(f"when '{t}' then '{title}'" for t, _, title, _ in advise.ADVICE) + " end"
 
 
 def _text_body() -> str:
-    return "select log_id, stage_id, type, description from spoken"
+    return f"select n.log_id, n.position, n.type, {TITLE} as title, f.description from numbered n join spoken f on {_SAME_FINDING}"
+
+
+def _entries(section: str, position: str, columns: dict[str, str], source: str) -> str:
+    listed = ", ".join(f'({v})::varchar as "{k}"' for k, v in columns.items())
+    return (f"select log_id, '{section}' as section, position, entry, value from (unpivot (select log_id, ({position})::bigint as position, "
+            f"{listed} from {source}) on columns(* exclude (log_id, position)) into name entry value value)")
+
+
+_UNKNOWN = "coalesce({}, 'unknown')"
+SUMMARY_COLUMNS = ("jobs", "jobs_completed", "jobs_failed", "stages", "stages_completed", "stages_failed", "tasks", "issues")
+
+
+def _recommendation_report() -> str:
+    hot = {"stageId": "stage_id", "name": "coalesce(stage_name, 'unknown')", "issues": "issues", "failed": "case when failed then 'true' end",
+           "completedTasks": "completed_tasks", "avgTaskDurationMillis": "coalesce(duration_avg_ms::varchar, 'unknown')",
+           "maxTaskDurationMillis": "coalesce(duration_max_ms::varchar, 'unknown')", "shuffleReadBytes": "shuffle_total_bytes",
+           "memoryBytesSpilled": "memory_total_bytes", "diskBytesSpilled": "disk_total_bytes"}
+    scope = ("case when n.stage_id >= 0 then 'stage ' || n.stage_id when n.execution_id is not null then 'SQL execution ' || "
+             "n.execution_id else 'application' end")
+    known = ("(select s.*, a.app_name, a.app_id, a.duration_ms, v.summary as severities from summary s left join applications a "
+             "using (log_id) left join severities v using (log_id))")
+    advice = (f"(select n.*, f.description, {TITLE} as title, {scope} as scope from numbered n join spoken f on {_SAME_FINDING})")
+    return " union all ".join([
+        _entries("application", "0", {"name": "coalesce(app_name, 'unknown')", "id": "coalesce(app_id, 'unknown')",
+                                      "durationMillis": "coalesce(duration_ms::varchar, 'unknown')"}, known),
+        _entries("summary", "0", {c: c for c in SUMMARY_COLUMNS} | {"severities": "coalesce(severities, 'none')"}, known),
+        _entries("hotspots", "rank", hot, "hotspots"),
+        _entries("recommendations", "position", {"title": "title", "severity": "severity", "scope": "scope", "relatedBottleneck": "type",
+                                                 "description": "description"}, advice),
+        "select n.log_id, 'evidence' as section, n.position, f.key as entry, f.display as value from numbered n join figures f on "
+        + _SAME_FINDING])
+
+
+def _report_rows() -> str:
+    stats = {f"{s}Task{label}": f"{s}_{m}" for m, label in (
+        ("duration_ms", "DurationMillis"), ("shuffle_read_bytes", "ShuffleReadBytes"), ("memory_bytes_spilled", "MemoryBytesSpilled"),
+        ("disk_bytes_spilled", "DiskBytesSpilled")) for s in ("median", "p95", "p99")}
+    stage = {"id": "stage_id", "name": "stage_name", "taskCount": "num_tasks", "completedTasks": "completed_tasks",
+             "minTaskDurationMillis": "duration_min_ms", "maxTaskDurationMillis": "duration_max_ms", "avgTaskDurationMillis": "duration_avg_ms",
+             "failedTaskAttempts": "all_failed_attempts", "failedTaskAttemptDurationMillis": "all_failed_ms",
+             "failedTaskAttemptReasons": _json_list("all_reasons"), "speculativeTaskAttempts": "speculative_attempts",
+             "speculativeTaskAttemptDurationMillis": "speculative_ms", "duplicateSuccessfulTaskAttempts": "duplicate_successes",
+             "shuffleReadBytes": "shuffle_total_bytes", "maxTaskShuffleReadBytes": "shuffle_max_bytes",
+             "memoryBytesSpilled": "memory_total_bytes", "diskBytesSpilled": "disk_total_bytes",
+             "maxTaskMemoryBytesSpilled": "memory_max_bytes", "maxTaskDiskBytesSpilled": "disk_max_bytes", **stats}
+    broken = {"id": "stage_id", "name": "done_name", "failureReason": "failure_reason", "failedTaskAttempts": "failed_attempts",
+              "failedTaskAttemptDurationMillis": "failed_ms", "failedTaskAttemptReasons": _json_list("attempt_reasons")}
+    execution = {"id": "execution_id", "rootExecutionId": "root_execution_id", "description": "description", "details": "details",
+                 "startTimeMillis": "start_ms", "endTimeMillis": "end_ms", "durationMillis": "duration_ms",
+                 "physicalPlanDescription": "plan_description", "latestPhysicalPlanDescription": "latest_plan_description",
+                 "errorMessage": "error_message", "operatorSummaries": "coalesce(operators, '[]')"}
+    operators = ("(select x.*, o.operators from executions x left join (select log_id, execution_id, '[' || string_agg('{\"name\":\"' "
+                 "|| node_name || '\",\"count\":' || n || '}', ',' order by n desc, node_name) || ']' as operators from (select log_id, "
+                 "execution_id, node_name, count(*) as n from nodes group by all) group by all) o using (log_id, execution_id))")
+    evidence = (f"(select {_FINDING_KEY}, '{{' || string_agg('\"' || key || '\":' || json, ',' order by key) || '}}' as evidence "
+                f"from figures group by {_FINDING_KEY})")
+    found = f"(select n.*, f.evidence from numbered n join {evidence} f on {_SAME_FINDING})"
+    advice = f"(select n.*, f.description, {TITLE} as title from numbered n join spoken f on {_SAME_FINDING})"
+    producer = f"'{{\"name\":\"{report.PRODUCER}\",\"version\":\"{report.__version__}\"}}'"
+    parts = [
+        _entries("header", "0", {"schemaVersion": f"'{report.SCHEMA_VERSION}'", "producer": producer}, "summary"),
+        _entries("application", "0", {"id": "app_id", "name": "app_name", "startTimeMillis": "start_ms", "endTimeMillis": "end_ms",
+                                      "durationMillis": "duration_ms"}, "applications"),
+        _entries("summary", "0", {"jobs": "jobs", "jobsCompleted": "jobs_completed", "jobsFailed": "jobs_failed", "stages": "stages",
+                                  "stagesCompleted": "stages_completed", "stagesFailed": "stages_failed", "tasks": "tasks",
+                                  "issuesDetected": "issues"}, "summary"),
+        _entries("stages", "stage_id", stage, "stages"),
+        _entries("sqlExecutions", "execution_id", execution, operators),
+        _entries("failedJobs", "job_id", {"id": "job_id", "result": "result"}, "(select * from jobs where state = 'failed')"),
+        _entries("failedStages", "stage_id", broken, "(select * from stages where outcome = 'failed')"),
+        _entries("bottlenecks", "position", {"instanceId": "'bottleneck-' || position", "type": "type", "severity": "severity",
+                                             "message": "message", "stageId": "stage_id", "evidence": "evidence"}, found),
+        _entries("recommendations", "position", {
+            "id": RECOMMENDATION_ID, "severity": "severity", "title": "title", "description": "description",
+            "relatedBottleneckType": "type", "stageId": "stage_id", "relatedBottleneckId": "'bottleneck-' || position"}, advice)]
+    parts += [f"select log_id, '{section}', stage_id, 'row', stage_id || '|' || worker_id || '|' || task_count || '|' || duration_ms || '|' "
+              "|| format('{:.4f}', task_share) || '|' || format('{:.4f}', duration_share) from workers join latest "
+              f"using (log_id, stage_id, stage_attempt_id) where kind = '{kind}'"
+              for kind, section in (("executor", "executorSummaries"), ("host", "hostSummaries"))]
+    parts += [f"select log_id, '{section}', stage_id, 'row', stage_id || '|' || value || '|' || min(r) || '|' || count(*) from ranked "
+              f"join latest using (log_id, stage_id, stage_attempt_id) where metric = '{metric}' group by log_id, stage_id, value"
+              for metric, section in report.SAMPLE_SECTIONS.items()]
+    return " union all ".join(parts)
 
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
