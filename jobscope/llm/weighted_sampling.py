@@ -9,63 +9,75 @@ from jobscope.llm.common import SPACES, store, whole
 
 #: Samples of a signature, and how many of them one row of the sampling stage works out: generated code of that size
 #: is still compiled by the JVM.
-SAMPLES, AT_ONCE = 24, 4
+SAMPLES, AT_ONCE = 24, 2
 _LOW = 0xFFFFFFFF
+_PIECE_BITS = 21
 
 
-def weighted_terms(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, term, weight`` for each distinct word of ``text``: a 64-bit hash, and how often it occurs.
+def paired_terms(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, term, own, edited`` for each distinct word of ``text`` or of ``edited``: a 64-bit hash, and the logarithm
+    of how often it occurs in either, null where it doesn't.
 
-    Words are sorted and counted within their row, so nothing is shuffled.  Texts without words give one row of nulls.
+    Both texts share most of their words, so these are counted together.  Where rows are dealt by their keys, nothing is
+    shuffled.
     """
-    words = F.filter(F.split("text", SPACES), lambda w: w != "")
-    ordered = texts.select(*keys, F.sort_array(F.transform(words, lambda w: F.xxhash64(w))).alias("h"))
-    starts = ordered.select(*keys, "h", F.filter(
-        F.sequence(F.lit(1), F.size("h")), lambda i: (i == 1) | (F.get("h", i - 1) != F.get("h", i - 2))).alias("at"))
-    runs = F.transform("at", lambda p, i: F.struct(
-        F.get("h", p - 1).alias("term"), (F.coalesce(F.get("at", i + 1), F.size("h") + 1) - p).alias("weight")))
-    runs = F.when(F.size("h") > 0, runs)
-    return starts.select(*keys, F.explode_outer(runs).alias("run")).select(*keys, "run.term", "run.weight")
-
-
-def sample_of(term: Column, weight: Column, sample: Column) -> Column:
+    texts = pairs.select(*keys, F.explode(F.array(F.struct(F.col("text").alias("text"), F.lit(0).alias("side")),
+                                                  F.struct(F.col("edited").alias("text"), F.lit(1).alias("side")))).alias("t"))
+    words = texts.select(*keys, "t.side", F.explode(F.split("t.text", SPACES)).alias("word")).filter("word <> ''")
+    counts = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(
+        F.count_if(F.col("side") == 0).alias("own"), F.count_if(F.col("side") == 1).alias("edited"))
+    known = lambda n: F.log(F.when(F.col(n) > 0, F.col(n))).alias(n)
+    return counts.select(*keys, "term", known("own"), known("edited"))
+
+
+def _sampled(terms: DataFrame, keys: list[str]) -> DataFrame:
+    """The variables of ``AT_ONCE`` samples of each term: ``r`` and ``c`` are gamma(2, 1), ``b`` uniform, all fixed by
+    term and sample; ``c`` stands as its logarithm.  Hashes and logarithms are taken once, whatever number of weights
+    is drawn with them."""
+    parts = F.sequence(F.lit(0), F.lit(SAMPLES // AT_ONCE - 1))
+    rows = terms.select(*keys, "term", "own", "edited", F.explode(parts).alias("part"))
+    salt = F.col("part") * (2 * AT_ONCE)
+    hashed = rows.select("*", *[F.xxhash64("term", salt + k).alias(f"h{k}") for k in range(2 * AT_ONCE)])
+
+    def piece(h: Column, bits: int, at: int) -> Column:
+        return (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)) + 0.5) / float(1 << bits)
+
+    columns = []
+    for i in range(AT_ONCE):
+        h, g = F.col(f"h{2 * i}"), F.col(f"h{2 * i + 1}")
+        columns += [(-F.log(piece(h, _PIECE_BITS, 43) * piece(h, _PIECE_BITS, 22))).alias(f"r{i}"),
+                    piece(h, _PIECE_BITS, 1).alias(f"b{i}"), F.log(-F.log(piece(g, 32, 32) * piece(g, 32, 0))).alias(f"c{i}")]
+    return hashed.select(*keys, "part", "term", "own", "edited", *columns)
+
+
+def _drawn(log_weight: str, i: int) -> Column:
     """One consistent weighted sample of a weighted term, packed so that the least value of all terms is drawn.
 
-    ``r`` and ``c`` are gamma(2, 1) variables and ``b`` a uniform one, all fixed by term and sample.  The weight is
-    taken down to the grid of its ``r`` (step ``t``), and the term competes with ``ln a = ln c - r (t - b) - r``.  The
-    upper half of the result orders by that, the lower half tells term and step.
+    The weight is taken down to the grid of its ``r`` (step ``t``), and the term competes with
+    ``ln a = ln c - r (t - b) - r``.  The upper half of the result orders by that, the lower half tells term and step.
     """
-    def uniforms(salt: int) -> tuple[Column, Column]:
-        h = F.xxhash64(term, sample, F.lit(salt))
-        return ((F.shiftrightunsigned(h, 32) + 0.5) / float(1 << 32), (h.bitwiseAND(F.lit(_LOW)) + 0.5) / float(1 << 32))
-
-    u1, u2 = uniforms(1)
-    v1, v2 = uniforms(2)
-    b = uniforms(3)[0]
-    r = -F.log(u1 * u2)
-    t = F.floor(F.log(weight) / r + b)
-    value = F.log(-F.log(v1 * v2)) - r * (t - b) - r
+    r, b, c = F.col(f"r{i}"), F.col(f"b{i}"), F.col(f"c{i}")
+    t = F.floor(F.col(log_weight) / r + b)
+    value = c - r * (t - b) - r
     rank = F.floor((F.greatest(F.lit(-63.0), F.least(F.lit(63.0), value)) + 64.0) * float(1 << 24)).cast("bigint")
-    told = F.xxhash64(term, t).bitwiseAND(F.lit(_LOW))
-    return F.when(term.isNotNull(), F.shiftleft(rank, 32).bitwiseOR(told))
+    told = F.col("term").bitwiseXOR(t * 2654435761).bitwiseAND(F.lit(_LOW))
+    return F.shiftleft(rank, 32).bitwiseOR(told)
 
 
-def signatures(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, signature``: the terms drawn, 32 bits each, nulls for a text without words.
+def signatures(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, own, edited``: the terms drawn from ``text`` and from ``edited``, 32 bits each, nulls for a text without
+    words.  A pair without words has no row.
 
-    The least of each sample is folded before the shuffle, which then carries a few rows for each text.
+    The least of each sample is folded before the shuffle, which then carries a few rows for each pair.
     """
-    drawn = [F.min(sample_of(F.col("term"), F.col("weight"), F.col("part") * AT_ONCE + i)).alias(f"s{i}")
-             for i in range(AT_ONCE)]
-    parts = (
-        weighted_terms(texts, keys)
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // AT_ONCE - 1))).alias("part"))
-        .groupBy(*keys, "part").agg(*drawn)
-        .select(*keys, F.struct("part", F.transform(F.array(*[F.col(f"s{i}") for i in range(AT_ONCE)]),
-                                                    lambda x: x.bitwiseAND(F.lit(_LOW))).alias("drawn")).alias("part"))
-    )
-    return parts.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")),
-                                                          lambda p: p["drawn"])).alias("signature"))
+    sides = ("own", "edited")
+    least = [F.min(_drawn(side, i)).alias(f"{side}{i}") for side in sides for i in range(AT_ONCE)]
+    low = lambda x: x.bitwiseAND(F.lit(_LOW))
+    parts = _sampled(paired_terms(pairs, keys), keys).groupBy(*keys, "part").agg(*least).select(*keys, F.struct(
+        "part", *[F.transform(F.array(*[F.col(f"{side}{i}") for i in range(AT_ONCE)]), low).alias(side) for side in sides])
+        .alias("part"))
+    gathered = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return gathered.select(*keys, *[F.flatten(F.col("parts")[side]).alias(side) for side in sides])
 
 
 def likeness(one: str, two: str) -> Column:
@@ -124,14 +136,11 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         "key", "text", F.xxhash64("text").alias("told"), F.length("text").cast("bigint").alias("n_chars"),
         F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - cut),
                  F.substring(F.col("begin"), F.lit(1), cut)).alias("edited"))
-    both = edited.select("key", "told", F.explode(F.array(
-        F.struct(F.lit(0).alias("which"), "text"),
-        F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("x"))
-    drawn = signatures(both.select("key", "told", "x.which", "x.text"), ["key", "told", "which"])
-    drawn = drawn.groupBy("key", "told").agg(F.max(F.when(F.col("which") == 0, F.col("signature"))).alias("own"),
-                                             F.max(F.when(F.col("which") == 1, F.col("signature"))).alias("edited"))
+    drawn = signatures(edited.select("key", "told", "text", "edited"), ["key", "told"])
+    none = F.array_repeat(F.lit(None).cast("bigint"), SAMPLES)  # a pair without words
     found = store(edited.select("key", "told", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sha.alias("sha"))
-                  .join(drawn, ["key", "told"]), "signatures")
+                  .join(drawn, ["key", "told"], "left").withColumns({side: F.coalesce(side, none) for side in ("own", "edited")}),
+                  "signatures")
     first = found.join(heads.select("key", "sha"), ["key", "sha"]).select("key", "own").dropDuplicates(["key"])
     following = follow.join(first.select(F.col("key").alias("next"), F.col("own").alias("following")), "next")
     return found.join(following.select("key", "following"), "key").select(
