@@ -50,10 +50,8 @@ def analyze(lines: DataFrame, *, limits: Limits = DEFAULT_LIMITS, extra_rules: l
     job_table = jobs.job_state(job_events)
     failed = jobs.failed_jobs(job_table)
 
-    completions = at.last_completion(stage_events)
     latest = at.latest_stage_attempt(at.seen_attempts(stage_events, attempts))
-    asof = sqlexec.stage_execution_asof(ev.job_stage_map(events), stage_events)
-    replayed = sqlexec.replayed_completions(asof, latest, completions)
+    replayed = sqlexec.replayed_completions(ev.job_stage_map(events), stage_events, attempts)
     updates = sqlexec.accumulator_replay(ev.driver_accum_updates(events), ev.stage_accumulables(events), replayed)
     values = sqlexec.sql_metric_values(updates)
     executions = materialize(sqlexec.sql_executions(ev.sql_execution_events(events), replayed), "executions")

@@ -24,17 +24,26 @@ def stage_execution_asof(job_stage_map: DataFrame, stage_events: DataFrame) -> D
     return carried.where("_done").select(*ATTEMPT, "seq", F.col("_execution").alias("execution_id"))
 
 
-def replayed_completions(asof: DataFrame, latest: DataFrame, completions: DataFrame) -> DataFrame:
-    """Stage completions whose SQL values count, with their execution.
+def replayed_completions(job_stage_map: DataFrame, stage_events: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Stage completions whose SQL values count, with their execution: ``stage attempt, seq, execution_id``.
 
     Only the last completion of a stage's highest attempt, when it succeeded
-    and an execution was known for the stage at that moment.
+    and an execution was known for the stage at that moment.  That is one
+    completion a stage at most, found by folding numbers alone; job starts are
+    then compared with it and folded in turn, so no running order is needed.
     """
-    return (
-        completions.where(F.col("failure_reason").isNull()).select(*ATTEMPT, "seq")
-        .join(latest.select(*ATTEMPT), [*ATTEMPT], "left_semi")
-        .join(asof.where(F.col("execution_id").isNotNull()), [*ATTEMPT, "seq"])
-    )
+    done = F.when(F.col("kind") == "completed", F.col("seq"))
+    marks = stage_events.select(*ATTEMPT, done.alias("seq"), F.col("failure_reason").isNull().alias("ok")).unionByName(
+        attempts.where(F.col("stage_id").isNotNull()).select(
+            *ATTEMPT, F.lit(None).cast(SEQ_TYPE).alias("seq"), F.lit(None).cast("boolean").alias("ok")))
+    by_attempt = marks.groupBy(*ATTEMPT).agg(F.max("seq").alias("seq"), F.max_by("ok", "seq").alias("ok"))
+    by_stage = by_attempt.groupBy(*STAGE).agg(
+        F.max("stage_attempt_id").alias("stage_attempt_id"), F.max_by("seq", "stage_attempt_id").alias("seq"),
+        F.max_by("ok", "stage_attempt_id").alias("ok"))
+    last = by_stage.where("ok").drop("ok")
+    known = job_stage_map.select(*STAGE, "execution_id", F.col("seq").alias("_named")).join(last, [*STAGE])
+    return known.where(F.col("_named") <= F.col("seq")).groupBy(*ATTEMPT, "seq").agg(
+        F.max_by("execution_id", "_named").alias("execution_id"))
 
 
 def accumulator_union(driver: DataFrame, stage_values: DataFrame) -> DataFrame:

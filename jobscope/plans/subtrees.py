@@ -81,15 +81,38 @@ def is_interesting(name: Column) -> Column:
     return match
 
 
+def subtree_digests() -> Column:
+    """A digest of each node's subtree, in node order: that of its token and its children's digests.
+
+    Nodes are folded from the last to the first.  Subtrees whose parent is still to come lie on a stack, the first child
+    on top, so a node's children are those on it that are one deeper.  Each node is hashed once, however deep it lies.
+    """
+    last = F.size("tokens") - 1
+    state = F.struct(F.array().cast("array<struct<ord:int,depth:int>>").alias("open"), F.array().cast("array<string>").alias("done"))
+
+    def step(s: Column, i: Column) -> Column:
+        depth = F.get("depths", i)
+        children = F.filter(s["open"], lambda e: e["depth"] == depth + 1)
+        inner = F.array_join(F.transform(children, lambda e: F.get(s["done"], last - e["ord"])), ",")
+        rest = F.slice(s["open"], F.size(children) + 1, F.size(s["open"]))
+        return F.struct(
+            F.concat(F.array(F.struct(i.alias("ord"), depth.alias("depth"))), rest).alias("open"),
+            F.concat(s["done"], F.array(F.sha2(F.concat(F.get("tokens", i), inner), 256))).alias("done"))
+
+    order = F.sequence(last, F.lit(0), F.lit(-1))
+    return F.reverse(F.aggregate(order, state, step, lambda s: s["done"]))
+
+
 def duplicate_subtrees(plans: DataFrame) -> DataFrame:
     """Subtrees that occur at least twice in one plan, found without leaving the plan's row.
 
     Digests of all subtrees are sorted inside the row; equal neighbours form a
-    group, whose first entry is its first subtree in pre-order.
+    group, whose first entry is its first subtree in pre-order.  ``fingerprint``
+    is the digest; the text form is that of :func:`subtree_fingerprints`.
     """
-    marked = F.transform("sizes", lambda size, ord_: F.struct(
-        F.sha2(subtree_text(ord_, size), 256).alias("fingerprint"), ord_.alias("ord")))
-    digests = prepare(plans).withColumn("marks", F.sort_array(marked))
+    marked = F.transform("digests", lambda digest, ord_: F.struct(digest.alias("fingerprint"), ord_.alias("ord")))
+    digests = prepare(plans.where(F.size("nodes") > 0)).withColumn("digests", subtree_digests()).withColumn(
+        "marks", F.sort_array(marked))
     starts = F.filter(
         F.sequence(F.lit(0), F.size("marks") - 1),
         lambda i: (i == 0) | (F.get("marks", i)["fingerprint"] != F.get("marks", i - 1)["fingerprint"]))

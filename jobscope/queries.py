@@ -119,8 +119,7 @@ def _asof(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _replay(spark: SparkSession, d: str) -> DataFrame:
-    events = tb.stage_events(spark, d)
-    replayed = sqlexec.replayed_completions(_asof(spark, d), _latest(spark, d), at.last_completion(events))
+    replayed = sqlexec.replayed_completions(tb.job_stage_map(spark, d), tb.stage_events(spark, d), tb.attempts(spark, d))
     return sqlexec.accumulator_replay(tb.driver_accum_updates(spark, d), tb.stage_accumulables(spark, d), replayed)
 
 

@@ -1,11 +1,14 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from jobscope.functions.display import human_bytes, human_millis, metric_value, scope_text
 from jobscope.functions.plan_text import normalize_plan_text, sort_pushed_filters
+from jobscope.plans.flatten import NODE_TYPE
+from jobscope.plans.subtrees import duplicate_subtrees, prepare, subtree_digests, subtree_fingerprints
 
 MIB = 1 << 20
 
@@ -80,3 +83,44 @@ def test_units(spark):
 def test_scope(spark):
     df = spark.createDataFrame([(3, None), (-1, 7), (-1, None)], "s int, e bigint")
     assert [r[0] for r in df.select(scope_text(F.col("s"), F.col("e"))).collect()] == ["stage 3", "SQL execution 7", "application"]
+
+
+def random_plan(rng, n):
+    """Children arrays of a random tree in pre-order, with few different texts, so that parts repeat."""
+    depth, nodes = 1, []
+    for i in range(n):
+        depth = 1 if i == 0 else rng.randrange(2, depth + 2)
+        nodes.append([i, depth, None, 1, 1, rng.choice("AB"), rng.choice("xy"), []])
+    for i in range(n - 1, 0, -1):
+        parent = max(j for j in range(i) if nodes[j][1] == nodes[i][1] - 1)
+        nodes[i][2] = parent
+        nodes[parent][3] += nodes[i][3]
+        nodes[parent][4] = max(nodes[parent][4], nodes[i][4] + 1)
+    return nodes
+
+
+def plans_of(spark, trees):
+    return spark.createDataFrame([("a", i, t) for i, t in enumerate(trees)], f"log_id string, execution_id long, nodes array<{NODE_TYPE}>")
+
+
+def test_digests_tell_subtrees_apart_as_their_texts_do(spark):
+    rng = random.Random(8)
+    plans = plans_of(spark, [random_plan(rng, rng.randrange(1, 40)) for _ in range(60)])
+    digests = prepare(plans).select("execution_id", F.posexplode(subtree_digests()).alias("ord", "digest"))
+    rows = digests.join(subtree_fingerprints(plans), ["execution_id", "ord"]).collect()
+    assert len({r["digest"] for r in rows}) == len({r["fingerprint"] for r in rows}) == len({(r["digest"], r["fingerprint"]) for r in rows})
+    want = {}
+    for r in rows:
+        want.setdefault((r["execution_id"], r["fingerprint"]), []).append(r["ord"])
+    got = {(r["execution_id"], r["first_ord"]): r["count"] for r in duplicate_subtrees(plans).collect()}
+    assert got == {(e, min(o)): len(o) for (e, _), o in want.items() if len(o) > 1}
+
+
+def test_deep_and_wide_plans_stay_cheap(spark):
+    n = 5000
+    chain = [[i, i + 1, i - 1 if i else None, n - i, n - i, "Project", "p", []] for i in range(n)]
+    wide = [[0, 1, None, n, 2, "Union", "u", []]] + [[i, 2, 0, 1, 1, "Scan", f"s{i % 7}", []] for i in range(1, n)]
+    begun = time.time()
+    assert prepare(plans_of(spark, [chain])).select(F.size(F.array_distinct(subtree_digests()))).first()[0] == n
+    assert prepare(plans_of(spark, [wide])).select(F.size(F.array_distinct(subtree_digests()))).first()[0] == 8
+    assert time.time() - begun < 20
