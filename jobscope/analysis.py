@@ -25,7 +25,7 @@ class InvalidLog(ValueError):
 
 
 def analyze(lines: DataFrame, *, limits: Limits = DEFAULT_LIMITS, extra_rules: list[rules.Rule] | None = None,
-            strict: bool = False) -> dict[str, DataFrame]:
+            strict: bool = False, layout: DataFrame | None = None) -> dict[str, DataFrame]:
     """All result tables for the logs in ``lines``.
 
     Tables that several branches read are stored on the way: the recognised
@@ -35,7 +35,7 @@ def analyze(lines: DataFrame, *, limits: Limits = DEFAULT_LIMITS, extra_rules: l
     """
     # Stored, so that its true size is known: the lines are then filtered without being shuffled
     # unless the list of unusable logs is too large to broadcast.
-    validation = materialize(ev.validate_logs(lines), "validation")
+    validation = materialize(ev.validate_logs(lines, layout), "validation")
     if strict:
         bad = validation.where(F.col("status") != "ok").limit(1).collect()
         if bad:

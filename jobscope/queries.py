@@ -23,9 +23,11 @@ from jobscope.operators.stages import stages
 from jobscope.ordering import number_rows, seq_bucket
 from jobscope.plans import flatten, graph, subtrees
 from jobscope.session import materialize, scratch_path
+from jobscope.sources import eventlog as el
 from jobscope.sources import events as ev
 from jobscope.sources import listener_lines as ll
 from jobscope.sources import tables as tb
+from jobscope.sources.codecs import decode_framed_files
 from jobscope.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -379,6 +381,37 @@ def _graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.plan_graph_nodes(tb.plans(spark, d), tb.plan_metric_values(spark, d))
 
 
+def _framed(spark: SparkSession, d: str) -> DataFrame:
+    lines = decode_framed_files(tb.framed_files(spark, d))
+    return lines.select(F.regexp_extract("name", r"_(\d+)\.", 1).cast("bigint").alias("l_orderkey"), "at", "value")
+
+
+def _rolling(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every event file in its log, where places are not those of part numbers alone."""
+    return el.ranked_files(tb.log_files(spark, d), roots=["/fleet"])
+
+
+def _registered(spark: SparkSession, d: str) -> DataFrame:
+    """A rule of the user's own among the built-in ones."""
+    own = rules.Rule("long_tail", "stages", 20, "Stage %d has a long tail.", F.col("p99_duration_ms") > 2 * F.col("median_duration_ms"),
+                     F.lit("low"), {"median": F.col("median_duration_ms"), "p99": F.col("p99_duration_ms")})
+    listed = rules.register_rule(rules.built_in_rules(), own)
+    table = _stages(spark, d, statistics=("duration_ms",), spread=False, reasons=False)
+    found = fd.all_findings([r for r in listed if r.name == "long_tail"], stages=table)
+    return found.select("log_id", "type", "severity", "stage_id", "message", "evidence")
+
+
+def _result_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Tables written as results and read again."""
+    path = scratch_path(spark, "results")
+    state = _jobs(spark, d).drop("failed_seq")
+    report.write_tables({"jobs": state, "completions": at.last_completion(tb.stage_events(spark, d))}, path)
+    stages_read = spark.read.parquet(f"{path}/completions").select("log_id", F.col("stage_id").cast("bigint").alias("id"), "failure_reason")
+    jobs_read = spark.read.parquet(f"{path}/jobs").select("log_id", F.col("job_id").cast("bigint").alias("id"), F.col("result"))
+    return jobs_read.select("log_id", F.lit("job").alias("kind"), "id", F.col("result").alias("value")).unionByName(
+        stages_read.select("log_id", F.lit("stage").alias("kind"), "id", F.col("failure_reason").alias("value")))
+
+
 def all_bottlenecks(spark: SparkSession, d: str) -> DataFrame:
     return _numbered(spark, d).select(
         "log_id", "instance_id", "type", "severity", "stage_id", "execution_id", "message")
@@ -474,6 +507,12 @@ QUERIES: dict[str, Query] = {
     "sql_execution_report": _sql_report,
     "sanitize_events": lambda s, d: sanitize.sanitize(tb.scrub_lines(s, d)),
     "sanitize_audit": _audit,
+    "scan_compressed": _framed,
+    "event_file_filter": lambda s, d: tb.log_files(s, d).select("path", el.is_event_file(F.col("name")).alias("holds_events")),
+    "rolling_order": _rolling,
+    "log_layout": lambda s, d: el.log_layout(tb.log_files(s, d), ["/fleet"]),
+    "register_rule": _registered,
+    "result_tables": _result_tables,
     "stream_stage_totals": _streamed,
     **{f"rule_{kind}": _rule(kind) for kind, *_ in advise.ADVICE},
 }

@@ -122,12 +122,11 @@ def _batch(path: str, at: int, lines: list[str]) -> pa.RecordBatch:
 
 
 def decode_framed_files(files: DataFrame) -> DataFrame:
-    """``path, name, at, value`` of the lines of framed files."""
+    """``path, name, at, value`` of the lines of framed files, given their ``path`` and ``content``."""
     from jobscope.sources.eventlog import base_name, is_event_file
 
-    name = F.col("_metadata.file_name")
     lines = (
-        files.where(is_event_file(name)).select(F.col("_metadata.file_path").alias("path"), "content")
+        files.where(is_event_file(base_name(F.col("path")))).select("path", "content")
         .mapInArrow(_decode, "path string, at bigint, value string")
     )
     return lines.where(F.col("value").rlike(r"\S")).select("path", base_name(F.col("path")).alias("name"), "at", "value")

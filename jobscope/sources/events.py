@@ -54,8 +54,8 @@ def recognise_lines(lines: DataFrame) -> DataFrame:
     return lines.where(is_recognised(F.col("value"))).withColumn("event", event_name(F.col("value")))
 
 
-def validate_logs(lines: DataFrame) -> DataFrame:
-    """One row per log: counts and whether the log is usable.
+def validate_logs(lines: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+    """One row per log: counts and whether the log is usable.  ``layout`` (``log_layout``) adds how its files lie.
 
     A line is read once, for its event and for whether it is JSON; a key may be repeated, and the last one counts.
     Lines that are JSON but no object are looked at again, and are not corrupt.
@@ -64,7 +64,7 @@ def validate_logs(lines: DataFrame) -> DataFrame:
                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     raw = F.col("line.Event")
     corrupt = F.col("line._corrupt").isNotNull() & F.try_parse_json("value").isNull()
-    return (
+    counted = (
         lines.select("log_id", "value", line.alias("line")).groupBy("log_id").agg(
             F.count_if(raw.rlike(RECOGNISED)).alias("recognised"),
             F.count_if(raw == APP_START).alias("starts"),
@@ -74,6 +74,12 @@ def validate_logs(lines: DataFrame) -> DataFrame:
                     .when(F.col("recognised") == 0, "no_events")
                     .when(F.col("starts") > 1, "several_applications").otherwise("ok"))
     )
+    if layout is None:
+        return counted
+    # what lies wrong is not read, so nothing else is said of it
+    return counted.join(layout.select("log_id", F.col("status").alias("_layout")), "log_id", "left").select(
+        *[c for c in counted.columns if c != "status"],
+        F.when(F.col("_layout") != "ok", F.col("_layout")).otherwise(F.col("status")).alias("status"))
 
 
 def keep_valid(df: DataFrame, validation: DataFrame) -> DataFrame:

@@ -306,6 +306,41 @@ def loose_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "q", value.alias("value"))
 
 
+# A file for each order: parts and other files of a log, in its folder or below it, and files that hold no events.
+FILES = {
+    "path": "concat('/fleet/app-', o_custkey, case o_orderstatus when 'O' then '/' when 'F' then '/application/' "
+            "else concat('/application/x', o_custkey % 3, '/') end, case o_orderkey % 9 when 0 then 'appstatus_x' when 1 then "
+            "'_SUCCESS' when 2 then '.events_1_x.crc' when 3 then concat('log-', o_orderkey) else "
+            "concat('events_', o_orderkey % 13, '_', o_orderkey) end)",
+}
+
+
+def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _project(_table(spark, sf_dir, "orders"), FILES).withColumn("name", F.regexp_extract("path", "([^/]*)$", 1))
+
+
+def framed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file in the lz4 framing for each order: a line a line item, in stored blocks that end within lines."""
+    line = F.expr("concat('{\"k\":', (l_linenumber * 16777216 + cents), '}')")
+    lines = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "cents", line.alias("v"))))
+                                                           .alias("l"))
+    text = F.encode(F.concat(F.array_join(F.col("l")["v"], "\n"), F.lit("\n")), "utf-8")
+
+    def little(n: F.Column) -> F.Column:
+        digits = F.lpad(F.hex(n), 8, "0")
+        return F.concat(*[F.substring(digits, i, 2) for i in (7, 5, 3, 1)])
+
+    def block(part: F.Column) -> F.Column:
+        size = little(F.octet_length(part).cast("bigint"))
+        return F.concat(F.lit(b"LZ4Block".hex() + "16"), size, size, F.lit("00000000"), F.hex(part))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / 50).cast("int")),
+                        lambda i: block(F.substring(F.col("text"), i * 50 + 1, F.lit(50))))
+    return lines.select("l_orderkey", text.alias("text")).select(
+        F.concat(F.lit("/fleet/events_1_"), F.col("l_orderkey").cast("string"), F.lit(".lz4")).alias("path"),
+        F.unhex(F.array_join(parts, "")).alias("content"))
+
+
 # Document text followed by the kinds of personal and machine data found in event logs.
 SCRUB_LINES = {
     "doc_id": "doc_id",

@@ -19,17 +19,60 @@ CHUNK_BITS = 27
 KNOWN_FILES = "path string, name string, length bigint, modified timestamp"
 PARTIAL = ("attempts", "successes", "failures", "success_ms", "failed_ms", "speculative")
 
+TOTALS = "log_id string, stage_id int, stage_attempt_id int, " + ", ".join(f"{c} bigint" for c in PARTIAL)
+FOLD_EVERY = 16
+
 
 def _run_folder(target: str, checkpoint: str) -> str:
     """Batch numbers count from the checkpoint, so each checkpoint writes into a folder of its own."""
     return f"{target}/run={hashlib.md5(checkpoint.encode()).hexdigest()}"
 
 
-def _append_once(path: str, transform: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+def _parts(spark: SparkSession, run: str, kind: str) -> list[int]:
+    """Numbers of the complete ``kind=N`` folders of a run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [status.getPath() for status in fs.listStatus(path)]
+    return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith(f"{kind}=")
+                  and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _live_parts(spark: SparkSession, run: str, through: int | None = None) -> list[str]:
+    """The folders that make up a run's totals (up to a batch): the last base, and the batches after it."""
+    bases = [n for n in _parts(spark, run, "base") if through is None or n < through]
+    base = bases[-1] if bases else -1
+    batches = [n for n in _parts(spark, run, "batch") if n > base and (through is None or n <= through)]
+    return [*([f"{run}/base={base}"] if bases else []), *[f"{run}/batch={n}" for n in batches]]
+
+
+def _fold_in(spark: SparkSession, run: str, batch_id: int) -> None:
+    """Totals up to a batch become one base; what the base before it already held is removed.
+
+    A batch that is repeated after a failure finds all parts since the last base, and so writes the same base again.
+    """
+    older = [n for n in _parts(spark, run, "base") if n < batch_id]
+    _sums(spark.read.schema(TOTALS).parquet(*_live_parts(spark, run, batch_id))).write.mode("overwrite").parquet(f"{run}/base={batch_id}")
+    if older:
+        for n in [n for n in _parts(spark, run, "batch") if n <= older[-1]]:
+            _drop(spark, f"{run}/batch={n}")
+        for n in older[:-1]:
+            _drop(spark, f"{run}/base={n}")
+
+
+def _append_once(run: str, transform: Callable[[DataFrame], DataFrame], fold_every: int) -> Callable[[DataFrame, int], None]:
     """Write each micro-batch into a folder of its own, so a repeated batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        transform(batch).write.mode("overwrite").parquet(f"{run}/batch={batch_id}")
+        if (batch_id + 1) % fold_every == 0:
+            _fold_in(batch.sparkSession, run, batch_id)
 
     return write
 
@@ -92,19 +135,26 @@ def attempt_totals(attempts: DataFrame) -> DataFrame:
         F.count_if(ok & F.col("speculative")).alias("speculative"))
 
 
-def stream_stage_totals(attempts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep partial counters per micro-batch; each batch shuffles only its own new attempts."""
+def _sums(partial: DataFrame) -> DataFrame:
+    return partial.groupBy(*ATTEMPT).agg(*[F.sum(c).alias(c) for c in PARTIAL])
+
+
+def stream_stage_totals(attempts: DataFrame, target: str, checkpoint: str, fold_every: int = FOLD_EVERY) -> StreamingQuery:
+    """Keep partial counters per micro-batch; each batch shuffles only its own new attempts.
+
+    After every ``fold_every`` batches the totals so far are written as one table, so what is stored and read is bounded
+    by the number of stage attempts, however long the stream runs.
+    """
     return (
         attempts.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
-        .foreachBatch(_append_once(_run_folder(target, checkpoint), attempt_totals)).start()
+        .foreachBatch(_append_once(_run_folder(target, checkpoint), attempt_totals, fold_every)).start()
     )
 
 
 def read_stage_totals(spark: SparkSession, target: str, checkpoint: str) -> DataFrame:
     """Counters of every stage attempt that the stream with this checkpoint has seen so far; none before its first batch."""
-    schema = "log_id string, stage_id int, stage_attempt_id int, " + ", ".join(f"{c} bigint" for c in PARTIAL)
-    partial = _stored(spark, f"{_run_folder(target, checkpoint)}/batch=*", schema)
-    return partial.groupBy(*ATTEMPT).agg(*[F.sum(c).alias(c) for c in PARTIAL])
+    parts = _live_parts(spark, _run_folder(target, checkpoint))
+    return _sums(spark.read.schema(TOTALS).parquet(*parts) if parts else spark.createDataFrame([], TOTALS))
 
 
 def latest_totals(totals: DataFrame) -> DataFrame:

@@ -503,6 +503,7 @@ PARSED = {
 }
 
 
+_FILES = f"(select *, {_cols(tb.FILES)} from orders)"
 _CATEGORIES = {
     "exchanges": "node_name like '%Exchange%'", "sorts": "node_name = 'Sort'", "hashaggregates": "node_name like '%HashAggregate%'",
     "joins": "node_name like '%Join%'", "scans": "node_name like '%Scan%'",
@@ -663,6 +664,24 @@ def oracle_sql() -> dict[str, str]:
             "using (log_id, execution_id)"),
         "sanitize_events": _sanitize_sql(),
         "sanitize_audit": _audit_sql(),
+        "scan_compressed": "select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_extendedprice) - 1 as at, "
+                           "'{\"k\":' || (l_linenumber * 16777216 + cast(round(l_extendedprice * 100) as bigint)) || '}' as value from lineitem",
+        "event_file_filter": f"select path, o_orderkey % 9 > 2 as holds_events from {_FILES}",
+        "rolling_order":
+            "select path, row_number() over (partition by o_custkey order by part, path) as place from (select *, max(again) over (partition "
+            "by o_custkey) as repeated from (select *, row_number() over (partition by o_custkey, part order by path) > 1 as again from "
+            f"(select *, case when o_orderkey % 9 = 3 then 100 else o_orderkey % 13 end as part from {_FILES} where o_orderkey % 9 > 2))) "
+            "where repeated",
+        "log_layout":
+            "select *, case when application_folders > 0 and direct_files > 0 then 'several_applications' else 'ok' end as status from "
+            "(select '/fleet/app-' || o_custkey as log_id, count(*) filter (where o_orderstatus = 'O') as direct_files, "
+            "max((o_orderstatus <> 'O')::bigint) as application_folders from orders where o_orderkey % 9 > 2 group by o_custkey)",
+        "register_rule": w(
+            "select log_id, 'long_tail' as type, 'low' as severity, stage_id, 'Stage ' || stage_id || ' has a long tail.' as message, "
+            "'{\"median\":' || median_duration_ms || ',\"p99\":' || p99_duration_ms || '}' as evidence from stages "
+            "where p99_duration_ms > 2 * median_duration_ms"),
+        "result_tables": w("select log_id, 'job' as kind, job_id as id, result as value from jobs union all "
+                           "select log_id, 'stage', stage_id, failure_reason from completions"),
         "audit_application_starts":
             "select concat('app-', o_custkey) as log_id, 'application starts: ' || count(*) filter (where o_orderstatus = 'O') "
             "as violation from orders group by o_custkey having count(*) filter (where o_orderstatus = 'O') <> 1",

@@ -13,7 +13,7 @@ from jobscope.plans.flatten import flatten_plans
 from jobscope.session import scratch_path
 from jobscope.sources import events as ev
 from jobscope.sources import tables as tb
-from jobscope.sources.eventlog import scan_event_lines
+from jobscope.sources.eventlog import list_files, log_layout, scan_event_lines
 from jobscope.streaming import ingest
 from tests.lines import app_end, app_start, completed, job_start, submitted, task, write_log
 
@@ -210,3 +210,41 @@ def test_one_bad_value_spoils_no_other_plan(spark):
     ids = {i: n["metrics"][0]["accumulator_id"] for i, n in got.items() if n["metrics"]}
     assert ids == {1: 7, 2: 0, 3: 0, 4: -(1 << 63), 6: 0, 7: 0, 9: 0}
     assert (got[5]["node_name"], got[5]["simple_string"], got[8]["node_name"]) == ("?B", "?", None)
+
+
+def test_totals_of_a_long_stream_stay_few(spark, tmp_path):
+    """Folded every third batch; a repeated batch changes nothing."""
+    d, source = "/root/testdata/sf0.001", str(tmp_path / "in")
+    attempts = tb.attempts(spark, d)
+    attempts.repartition(10).write.parquet(source)
+    target, checkpoint = scratch_path(spark, "t"), str(tmp_path / "cp")
+    stream = spark.readStream.schema(attempts.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    ingest.stream_stage_totals(stream, target, checkpoint, fold_every=3).awaitTermination()
+    run = ingest._run_folder(target, checkpoint)
+    assert ingest._parts(spark, run, "base") == [5, 8] and ingest._parts(spark, run, "batch") == [6, 7, 8, 9]
+    want = sorted(map(str, ingest.attempt_totals(attempts).collect()))
+    assert sorted(map(str, ingest.read_stage_totals(spark, target, checkpoint).collect())) == want
+    ingest._fold_in(spark, run, 8)
+    assert sorted(map(str, ingest.read_stage_totals(spark, target, checkpoint).collect())) == want
+
+
+def test_layout_of_logs(spark, tmp_path):
+    write_log(tmp_path / "plain" / "events_1_a", LINES[:3])
+    write_log(tmp_path / "plain" / "events_2_a", LINES[3:])
+    write_log(tmp_path / "nested" / "app" / "deep" / "events_2_a", LINES[3:])
+    write_log(tmp_path / "nested" / "app" / "events_1_a", LINES[:3])
+    write_log(tmp_path / "two" / "app1" / "a.json", LINES)
+    write_log(tmp_path / "two" / "app2" / "a.json", LINES)
+    write_log(tmp_path / "mixed" / "app" / "a.json", LINES)
+    write_log(tmp_path / "mixed" / "b.json", LINES)
+    (tmp_path / "mixed" / "none").mkdir()
+    (tmp_path / "plain" / "none").mkdir()
+    (tmp_path / "plain" / "none" / "appstatus_x").write_text("")
+    root = str(tmp_path)
+    lines = scan_event_lines(spark, root, folders_are_logs=True)
+    layout = log_layout(list_files(spark, root), [root])
+    status = {r["log_id"].rsplit("/", 1)[1]: r["status"] for r in ev.validate_logs(lines, layout).collect()}
+    assert status == {"plain": "ok", "nested": "ok", "two": "several_applications", "mixed": "several_applications"}
+    for log in ("plain", "nested"):
+        rows = lines.where(F.col("log_id").endswith(f"/{log}")).orderBy("seq").collect()
+        assert [json.loads(r["value"])["Event"] for r in rows] == [x["Event"] for x in LINES]
