@@ -9,7 +9,7 @@ from jobscope.llm.common import SPACES, store, whole
 
 #: Samples of a signature, and how many of them one row of the sampling stage works out: generated code of that size
 #: is still compiled by the JVM.
-SAMPLES, AT_ONCE = 24, 2
+SAMPLES, AT_ONCE = 40, 2
 _LOW = 0xFFFFFFFF
 _PIECE_BITS = 21
 
