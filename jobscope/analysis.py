@@ -29,18 +29,21 @@ def analyze(lines: DataFrame, *, limits: Limits = DEFAULT_LIMITS, extra_rules: l
     """All result tables for the logs in ``lines``.
 
     Tables that several branches read are stored on the way: the recognised
-    events (partitioned by kind, so each branch reads only its own), the
-    attempts and logical tasks, the stages, executions and plans, and the
-    numbered findings.
+    events (clustered by kind), the attempts and logical tasks, the stages,
+    executions and plans, and the numbered findings.  ``layout`` (``log_layout``)
+    sets logs aside whose files lie wrong.
     """
-    # Stored, so that its true size is known: the lines are then filtered without being shuffled
+    # The text is read once.  Each task sorts what it has read by event, so a branch that wants few kinds skips the pages
+    # of the others, and no more files are written than tasks have read.
+    routed = materialize(ev.route_lines(lines).sortWithinPartitions("event"), "events")
+    # Stored, so that its true size is known: events are then filtered without being shuffled
     # unless the list of unusable logs is too large to broadcast.
-    validation = materialize(ev.validate_logs(lines, layout), "validation")
+    validation = materialize(ev.validate_routed(routed, layout), "validation")
     if strict:
         bad = validation.where(F.col("status") != "ok").limit(1).collect()
         if bad:
             raise InvalidLog(f"{bad[0]['log_id']}: {bad[0]['status']}")
-    events = materialize(ev.recognise_events(ev.keep_valid(lines, validation)), "events", "event")
+    events = ev.keep_valid(routed.where(F.col("event").isNotNull()), validation).select("log_id", "seq", "event", "value")
 
     attempts = materialize(ev.task_attempts(events), "attempts")
     stage_events = ev.stage_events(events)

@@ -54,21 +54,34 @@ def recognise_lines(lines: DataFrame) -> DataFrame:
     return lines.where(is_recognised(F.col("value"))).withColumn("event", event_name(F.col("value")))
 
 
-def validate_logs(lines: DataFrame, layout: DataFrame | None = None) -> DataFrame:
-    """One row per log: counts and whether the log is usable.  ``layout`` (``log_layout``) adds how its files lie.
+def route_lines(lines: DataFrame) -> DataFrame:
+    """``log_id, seq, event, value, starts_application, corrupt``: every line looked at once, for its event and for
+    whether it is JSON; only lines of recognised events keep their text.
 
-    A line is read once, for its event and for whether it is JSON; a key may be repeated, and the last one counts.
-    Lines that are JSON but no object are looked at again, and are not corrupt.
+    A key may be repeated, and the last one counts.  Lines that are JSON but no object are looked at again, and are not
+    corrupt.
     """
     line = F.from_json("value", "Event string, _corrupt string",
                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     raw = F.col("line.Event")
-    corrupt = F.col("line._corrupt").isNotNull() & F.try_parse_json("value").isNull()
+    known = F.coalesce(raw.rlike(RECOGNISED), F.lit(False))
+    return lines.withColumn("line", line).select(
+        "log_id", "seq", F.when(known, F.regexp_extract(raw, RECOGNISED_TAIL, 1)).alias("event"),
+        F.when(known, F.col("value")).alias("value"), F.coalesce(raw == APP_START, F.lit(False)).alias("starts_application"),
+        (F.col("line._corrupt").isNotNull() & F.try_parse_json("value").isNull()).alias("corrupt"))
+
+
+def validate_logs(lines: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+    """One row per log: counts and whether the log is usable.  ``layout`` (``log_layout``) adds how its files lie."""
+    return validate_routed(route_lines(lines), layout)
+
+
+def validate_routed(routed: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+    """The same for lines that :func:`route_lines` has looked at."""
     counted = (
-        lines.select("log_id", "value", line.alias("line")).groupBy("log_id").agg(
-            F.count_if(raw.rlike(RECOGNISED)).alias("recognised"),
-            F.count_if(raw == APP_START).alias("starts"),
-            F.count_if(corrupt).alias("corrupt_lines"))
+        routed.groupBy("log_id").agg(
+            F.count("event").alias("recognised"), F.count_if("starts_application").alias("starts"),
+            F.count_if("corrupt").alias("corrupt_lines"))
         .withColumn("status",
                     F.when(F.col("corrupt_lines") > 0, "corrupt")
                     .when(F.col("recognised") == 0, "no_events")
