@@ -37,6 +37,16 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, f"llm-{label}")
 
 
+def packed_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """Each row as one column ``row``, so that no name of its columns meets those an operator works with, and ``more``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
+def unpacked(columns: list[str], **replaced: Column) -> list[Column]:
+    """The columns of ``row`` again, some of them replaced."""
+    return [replaced[c].alias(c) if c in replaced else F.col("row").getField(c).alias(c) for c in columns]
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
     """``rows`` with the columns of their group, where one group may hold a third of all rows.
 

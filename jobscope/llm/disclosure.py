@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import store, whole
+from jobscope.llm.common import packed_rows, store, unpacked, whole
 
 # The base kinds in order and their patterns.  Each matches as the plain pattern does, leftmost and
 # without overlap: what follows a possessive run can't begin inside it, and a run is tried from its beginning (or from
@@ -211,8 +211,7 @@ def sanitise(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str =
         s["end"].alias("at"), F.concat(a["out"], F.array(
             F.substring(F.col("_text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")),
             F.when(s["kind"] == "drop", F.lit("")).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]"))))).alias("out"))))
-    rows = docs.withColumn("_text", whole(text)).withColumn("_digest", text_key("_text")).join(spans, "_digest", "left")
+    rows = packed_rows(docs, whole(text).alias("_text")).withColumn("_digest", text_key("_text")).join(spans, "_digest", "left")
     clean = F.concat(F.array_join(F.col("_walked.out"), ""), F.substring(F.col("_text"), (F.col("_walked.at") + 1).cast("int"), F.length("_text")))
-    return rows.withColumn("_walked", walked).select(*[
-        F.when(F.col("_spans").isNull(), F.col(f"`{c}`")).otherwise(clean).alias(c) if c == text else F.col(f"`{c}`")
-        for c in docs.columns])
+    own = F.when(F.col("_spans").isNull(), F.col("row").getField(text)).otherwise(clean)
+    return rows.withColumn("_walked", walked).select(*unpacked(docs.columns, **{text: own}))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import document_key, rows_of, store, whole
+from jobscope.llm.common import document_key, packed_rows, rows_of, store, unpacked, whole
 
 WORDS, MAX_BITS, SEED = 3, 3, 42
 #: Fingerprints in a shard that the tree's depth aims at, and rows of either side in one block of a shard.
@@ -277,6 +277,6 @@ def keep_one_of_each(docs: DataFrame, words: int = WORDS, reach: int = MAX_BITS)
 
     Rows of one doc_id in different components each stay for theirs; of repeated rows one stays.  Empty tables pass through.
     """
-    keyed = docs.withColumn("_key", document_key())
-    chosen = grouped(keyed, words, reach, "_key").select(F.col("component").alias("_key")).distinct()
-    return keyed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    keyed = packed_rows(docs, F.col("text"), document_key().alias("key"))
+    chosen = grouped(keyed.select("key", "text"), words, reach, "key").select(F.col("component").alias("key")).distinct()
+    return keyed.join(chosen, "key", "left_semi").dropDuplicates(["key"]).select(*unpacked(docs.columns))

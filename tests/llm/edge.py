@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, key string, row string, digest string, "
-          "fp long, size long, doc string, line string, kept string, h string, target string")
-TAIL = ("k", "r", "d", 1, 2, "o", "l", "p", "h", "t")
+          "fp long, size long, doc string, line string, kept string, h string, target string, _key string, _text string, "
+          "_digest string, _spans string, _walked string, left string, gone string, n string, component string")
+TAIL = ("k", "r", "d", 1, 2, "o", "l", "p", "h", "t", "K", "T", "D", "S", "W", "L", "G", "N", "C")
 
 
 def rows():

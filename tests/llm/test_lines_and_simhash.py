@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import jobscope.llm.line_dedup as line_dedup
 import jobscope.llm.simhash as simhash
@@ -162,3 +163,14 @@ def test_one_row_stays_of_each_component(spark):
     got = keep_one_of_each(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
     want = [(1, a), (2, b), (3, c), (3, d), (None, "alone and without id"), (None, "another text that has no id")]
     assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, want))
+
+
+def test_clashing_columns_pass_unchanged(spark):
+    mine = {c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+            for c in ("n_lines", "n_removed", "_key", "row", "left", "gone", "_lines", "_stays", "component")}
+    docs = edge.documents(spark).withColumns(mine)
+    for operator in (without_repeats, dedup_lines, keep_one_of_each):
+        out = operator(docs)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in mine)
