@@ -20,6 +20,8 @@ _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
               "span strike strong sub sup time tt u var wbr".split())
 #: Elements without text of their own for a reader, up to their end tag.
 _RAW = set("script style noscript template textarea title svg math iframe object canvas audio video head select".split())
+#: Of these, the ones in which there is no markup.
+_TEXT_ONLY = set("script style textarea title".split())
 _BOILERPLATE = set("nav footer aside form menu dialog button fieldset address".split())
 _MAIN = set("article main".split())
 _BOILERPLATE_NAMES = set(
@@ -48,10 +50,59 @@ NEIGHBOUR, SIBLING = 0.5, 0.4
 
 @dataclass
 class Element:
+    """An open element, with what holds of it and all those around it, so that no stack need be walked."""
+
     tag: str
     number: int
-    sign: float  # of this element alone
-    main: bool
+    high: float  # greatest and least sign, at least and at most zero
+    low: float
+    in_main: bool
+    block_at: int  # place on the stack of the innermost element that is not inline, or -1
+
+
+class OpenElements:
+    """The open elements; each is pushed and removed once, and found by its tag without a search."""
+
+    def __init__(self) -> None:
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.links = 0
+
+    @property
+    def top(self) -> Element:
+        return self.stack[-1] if self.stack else _NONE
+
+    def push(self, tag: str, number: int, sign: float, main: bool) -> None:
+        top, at = self.top, len(self.stack)
+        self.stack.append(Element(tag, number, max(top.high, sign), min(top.low, sign), top.in_main or main,
+                                  top.block_at if tag in _INLINE else at))
+        self.places.setdefault(tag, []).append(at)
+        self.links += tag == "a"
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of this tag, or -1."""
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def close_from(self, at: int) -> None:
+        for e in reversed(self.stack[at:]):
+            self.places[e.tag].pop()
+            self.links -= e.tag == "a"
+        del self.stack[at:]
+
+    def close_same(self, tag: str) -> None:
+        """Close an open element of this tag if only inline elements and paragraphs lie in it."""
+        at = self.top.block_at
+        while at >= 0:
+            if self.stack[at].tag == tag:
+                self.close_from(at)
+                return
+            if self.stack[at].tag != "p" or at == 0:
+                return
+            at = self.stack[at - 1].block_at
+
+
+_NONE = Element("", 0, 0.0, 0.0, False, -1)
 
 
 @dataclass
@@ -90,24 +141,24 @@ def element_sign(tag: str, attributes: str, in_main: bool) -> tuple[float, bool]
 
 def blocks_of(page: str) -> list[Block]:
     """Runs of text between block-level tags, in page order; markup that is never closed does no harm."""
-    stack: list[Element] = []
+    open_ = OpenElements()
     blocks: list[Block] = []
     open_block: Block | None = None
-    links = number = at = 0
+    number = at = 0
     length = len(page)
+    never_closed: set[str] = set()
 
     def add(raw: str) -> None:
         nonlocal open_block
         if open_block is None:
             if not raw.strip():
                 return
-            sign = max((e.sign for e in stack), default=0.0)
-            sign = max(sign, 0.0) + min((e.sign for e in stack if e.sign < 0), default=0.0)
-            inner = next((e for e in reversed(stack) if e.tag not in _INLINE), None)
-            open_block = Block(inner.number if inner else 0, inner.tag if inner else "", sign)
+            top = open_.top
+            inner = open_.stack[top.block_at] if top.block_at >= 0 else _NONE
+            open_block = Block(inner.number, inner.tag, top.high + top.low)
             blocks.append(open_block)
         open_block.parts.append(raw)
-        if links:
+        if open_.links:
             open_block.linked += len(raw.strip())
 
     while at < length:
@@ -122,17 +173,21 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
-            if depth is not None and not (tag in _INLINE and any(e.tag not in _INLINE for e in stack[depth + 1:])):
-                links -= sum(e.tag == "a" for e in stack[depth:])
-                del stack[depth:]
+            depth = open_.last(tag)
+            if depth >= 0 and not (tag in _INLINE and open_.top.block_at > depth):
+                open_.close_from(depth)
             if tag not in _INLINE:
                 open_block = None
             continue
         if tag in _RAW:
-            if not m[3].rstrip().endswith("/") or tag in ("script", "style", "textarea", "title"):
-                close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-                at = close.end() if close else length if tag != "head" else at
+            if not m[3].rstrip().endswith("/") or tag in _TEXT_ONLY:
+                close = None if tag in never_closed else re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+                if close:
+                    at = close.end()
+                else:
+                    never_closed.add(tag)
+                    # what is no markup runs to the end of the page; other elements do no harm if they stay open
+                    at = length if tag in _TEXT_ONLY else at
             if tag not in ("script", "style", "template", "noscript"):
                 open_block = None
             continue
@@ -142,19 +197,11 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in _INLINE:
             open_block = None
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # closed by the next of their kind
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == tag:
-                        links -= sum(e.tag == "a" for e in stack[i:])
-                        del stack[i:]
-                        break
-                    if stack[i].tag not in _INLINE and stack[i].tag != "p":
-                        break
+                open_.close_same(tag)
         if tag in _VOID:
             continue
         number += 1
-        sign, main = element_sign(tag, m[3], any(e.main for e in stack))
-        stack.append(Element(tag, number, sign, main))
-        links += tag == "a"
+        open_.push(tag, number, *element_sign(tag, m[3], open_.top.in_main))
     for b in blocks:
         b.text = _SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
         b.parts = []

@@ -2,9 +2,11 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
+from jobscope.llm import html_text
 from jobscope.llm.html_text import extract_text, main_text, minimum_cut
 from jobscope.llm.secret_scan import Automaton, scan_secrets, secret_digests
 from tests.llm import edge
@@ -117,3 +119,17 @@ def test_secret_edges(spark):
     assert secret_digests(scan_secrets(docs)).count() == len(edge.rows())
     assert {r.spans for r in secret_digests(scan_secrets(docs)).filter(F.col("doc_id") != 5).collect()} == {""}
     assert secret_digests(scan_secrets(edge.empty(spark))).count() == 0
+
+
+def test_deep_nesting_and_elements_left_open():
+    """100,000 open elements take time in proportion; an element that is never closed takes nothing with it."""
+    begun = time.time()
+    for page in ("<div>" * 100_000 + "words", "<b>" * 100_000 + "words" + "</p>" * 1000, "<svg>" * 100_000 + "words"):
+        assert [b.text for b in html_text.blocks_of(page)] == ["words"]
+    assert len(html_text.blocks_of("<div><b>x</b>" * 30_000)) == 30_000
+    assert time.time() - begun < 20
+    for tag in ("svg", "video", "object", "iframe", "noscript", "canvas", "audio", "math", "select", "template"):
+        assert [b.text for b in html_text.blocks_of(f"<p>one</p><{tag}><p>two</p>")] == ["one", "two"]
+        assert [b.text for b in html_text.blocks_of(f"<p>one</p><{tag}>no</{tag}><p>two</p>")] == ["one", "two"]
+    for tag in ("script", "style", "textarea", "title"):
+        assert [b.text for b in html_text.blocks_of(f"<p>one</p><{tag}><p>two</p>")] == ["one"]
