@@ -144,7 +144,7 @@ def _rule(name: str) -> Query:
 
 
 def _recognise(spark: SparkSession, d: str) -> DataFrame:
-    return ev.recognise_events(tb.mixed_lines(spark, d)).groupBy("log_id", "event").agg(F.count(F.lit(1)).alias("n"))
+    return ev.recognise_events(tb.mixed_lines(spark, d)).drop("seq")
 
 
 def _parsed_attempts(spark: SparkSession, d: str) -> DataFrame:
@@ -159,12 +159,11 @@ def _extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _task_success(spark: SparkSession, d: str) -> DataFrame:
-    return _parsed_attempts(spark, d).groupBy("log_id", "success", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return _parsed_attempts(spark, d).select("log_id", "task_id", "success", "reason")
 
 
-def _union_counts(spark: SparkSession, d: str) -> DataFrame:
-    both = sqlexec.accumulator_union(tb.driver_accum_updates(spark, d), tb.stage_accumulables(spark, d))
-    return both.groupBy("source", "accumulator_id").agg(F.count(F.lit(1)).alias("n"))
+def _union(spark: SparkSession, d: str) -> DataFrame:
+    return sqlexec.accumulator_union(tb.driver_accum_updates(spark, d), tb.stage_accumulables(spark, d)).drop("seq")
 
 
 def _suppressed(spark: SparkSession, d: str) -> DataFrame:
@@ -444,7 +443,7 @@ QUERIES: dict[str, Query] = {
     "stage_outcome": lambda s, d: at.stage_outcome(_latest(s, d), at.last_completion(tb.stage_events(s, d))),
     "stage_execution_asof": lambda s, d: _asof(s, d).drop("seq"),
     "accumulator_replay": lambda s, d: _replay(s, d).drop("seq", "pos"),
-    "accumulator_union": _union_counts,
+    "accumulator_union": _union,
     "sql_metric_values": lambda s, d: sqlexec.sql_metric_values(_replay(s, d)),
     "metric_lookup": lambda s, d: sqlexec.metric_lookup(flatten.plan_metrics(tb.plans(s, d)), tb.plan_metric_values(s, d)),
     "suppress_duplicates": _suppressed,

@@ -517,7 +517,11 @@ def oracle_sql() -> dict[str, str]:
         "recognise_events":
             "select concat('app-', o_custkey) as log_id, case when o_orderstatus = 'O' then 'SparkListenerApplicationStart' "
             "when o_orderstatus = 'P' then 'SparkListenerJobEnd' else 'SparkListenerSQLExecutionEnd' end as event, "
-            "count(*) as n from orders where o_orderstatus <> 'F' or o_orderpriority not in ('4-NOT SPECIFIED', '5-LOW') group by all",
+            "case when o_orderstatus = 'O' then '{\"Event\":\"SparkListenerApplicationStart\",\"App ID\":\"application_' || o_custkey "
+            "|| '\",\"App Name\":\"' || o_orderpriority || '\"}' when o_orderstatus = 'P' then "
+            "'{\"Event\":\"SparkListenerJobEnd\",\"Job ID\":' || o_orderkey || '}' else "
+            "'{\"Event\":\"org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionEnd\",\"executionId\":' || o_orderkey || '}' end "
+            "as value from orders where o_orderstatus <> 'F' or o_orderpriority not in ('4-NOT SPECIFIED', '5-LOW')",
         "validate_logs":
             "select *, case when corrupt_lines > 0 then 'corrupt' when recognised = 0 then 'no_events' when starts > 1 then "
             "'several_applications' else 'ok' end as status from (select concat('app-', o_custkey) as log_id, "
@@ -529,15 +533,17 @@ def oracle_sql() -> dict[str, str]:
             "then 0 else null end as number from lineitem",
         "task_attempts": w(f"select {K}, task_index, task_id, success, reason, speculative, duration_ms, shuffle_read_bytes, "
                            "memory_bytes_spilled, disk_bytes_spilled, executor_id, host from attempts"),
-        "task_success": w("select log_id, success, reason, count(*) as n from attempts group by all"),
+        "task_success": w("select log_id, task_id, success, reason from attempts"),
         "application_events": w("select * from applications", APPLICATIONS),
         "latest_stage_attempt": w("select log_id, stage_id, stage_attempt_id from latest"),
         "stage_outcome": w(f"select {K}, stage_name, failure_reason, outcome from outcome"),
         "stage_execution_asof": w("select log_id, stage_id, stage_attempt_id, execution_id from asof_"),
         "accumulator_replay": w("select log_id, execution_id, accumulator_id, value, source from replay"),
         "sql_metric_values": w("select log_id, execution_id, accumulator_id, arg_max(value, seq) as value from replay group by all"),
-        "accumulator_union": w("select source, accumulator_id, count(*) as n from (select 'driver' as source, accumulator_id "
-                               "from driver_values union all select 'stage', accumulator_id from stage_values) group by all"),
+        "accumulator_union": w(
+            "select 'driver' as source, log_id, execution_id, null::bigint as stage_id, null::bigint as stage_attempt_id, pos, accumulator_id, "
+            "value from driver_values union all select 'stage', log_id, null, stage_id, stage_attempt_id, pos, accumulator_id, value "
+            "from stage_values"),
         "metric_lookup": w(_METRIC_VALUES),
         "suppress_duplicates": findings_sql(
             "select log_id, type, stage_id, execution_id from findings where type in "
