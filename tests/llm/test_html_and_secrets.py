@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from jobscope.llm import html_text
 from jobscope.llm.html_text import extract_text, main_text, minimum_cut
-from jobscope.llm.secret_scan import Automaton, scan_secrets, secret_digests
+from jobscope.llm.secret_scan import (
+    Automaton, Formats, base_spans, candidate_spans, fit_formats, learnt_spans, sample_values, scan_secrets, secret_digests)
 from tests.llm import edge
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
@@ -102,6 +103,35 @@ def test_learnt_format_finds_what_the_patterns_miss(spark):
     assert "like" not in "".join(found[i].spans for i in range(80))
 
 
+def test_all_runs_are_candidates():
+    """Short, dotted and letters alone; what base spans leave; no ordinary word, number or name is taken."""
+    text = "a.b-c_d short abcde tokens: token=abcdef1;rest=XYZXYZ aa" + "0" * 24 + "zzzzzzz."
+    base = base_spans(text)
+    assert [text[a:b] for a, b in candidate_spans(text, base)] == ["a.b-c_d", "tokens", "rest=XYZXYZ", "zzzzzzz."]
+    rnd = random.Random(4)
+    pick = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    words = sorted({pick("abcdefghijklmnopqrstuvwxyz", rnd.randint(6, 12)) for _ in range(3000)})
+    kinds = {"short": lambda: pick("XYZQ", 3) + pick("0123456789", 6), "dotted": lambda: "gh." + pick("0123456789", 4) + "." + pick("ab", 8),
+             "letters": lambda: "xoxb-" + pick("ABCDEFGHIJKLMNOP", 16)}
+    for make in kinds.values():
+        formats = Formats.fit({"assign": [make() for _ in range(200)]}, words)
+        assert sum(formats.kind_of(make()) == "assign" for _ in range(200)) > 170
+        assert not any(formats.kind_of(w) for w in words) and not formats.kind_of("2024-10-11") and not formats.kind_of("Information")
+        value = make()
+        found = list(learnt_spans(formats, f"see {value}, name={value}", [], formats.kind_of))
+        n = len(value)
+        assert found == [("like_assign", 4, 4 + n), ("like_assign", 11 + n, 11 + 2 * n)]
+
+
+def test_fit_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").filter("text is not null")
+    held = [sorted(map(str, least.distinct().collect())) for least in (
+        sample_values(docs.repartition(1)), sample_values(docs.repartition(1).sortWithinPartitions("text")))]
+    assert held[0] == held[1] and len(held[0]) > 50
+    one, five = (fit_formats(docs.repartition(n)) for n in (1, 5))
+    assert (one.least, one.evidence, one.ordinary.cost) == (five.least, five.evidence, five.ordinary.cost)
+
+
 def test_automaton_merges_states():
     rnd = random.Random(1)
     values = []
