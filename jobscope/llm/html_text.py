@@ -30,6 +30,9 @@ _BOILERPLATE_NAMES = set(
     "recommended share sharing social breadcrumb breadcrumbs pagination pager subscribe subscription newsletter signup "
     "login form search popup modal overlay widget toolbar copyright legal disclaimer comment comments commentlist disqus "
     "respond reply replies reactions hidden skip tags".split())
+#: Of these, the ones that parts of an article are named with as well, as in ``side-by-side`` or ``tags-guide``.
+_DOUBTFUL_NAMES = set("side rail alert notice notices legal header form search tags skip menu widget overlay hidden "
+                      "copyright disclaimer share sharing social related recommended promotion respond reply".split())
 _MAIN_NAMES = set("article main content post entry story body text articlebody".split())
 
 _TOKEN = re.compile(
@@ -43,6 +46,8 @@ _CLAUSE = re.compile(r"[.,;:!?…。，]")
 
 #: Costs of the classifier, in nats: what each sign adds for (positive) or against main text.
 IN_MAIN, IN_MAIN_NAME, IN_BOILERPLATE, IN_BOILERPLATE_NAME, HIDDEN, PAGE_HEADER = 4.0, 2.0, -9.0, -7.0, -12.0, -7.0
+#: A doubtful name inside main text: long unlinked prose outweighs it, short or linked text does not.
+IN_DOUBTFUL_NAME = -4.8
 START, LONG_TEXT, CLAUSES, LINKS, HEADING = -0.6, 1.6, 0.8, -3.5, 0.6
 #: Smoothness: neighbours in the page, and blocks under one parent.
 NEIGHBOUR, SIBLING = 0.5, 0.4
@@ -132,8 +137,8 @@ def element_sign(tag: str, attributes: str, in_main: bool) -> tuple[float, bool]
                 return HIDDEN, False
             if key != "style":
                 names.update(_NAME.findall(value))
-        if names & _BOILERPLATE_NAMES and tag not in ("html", "body") and not main:
-            return IN_BOILERPLATE_NAME, False
+        if (told := names & _BOILERPLATE_NAMES) and tag not in ("html", "body") and not main:
+            return IN_DOUBTFUL_NAME if in_main and told <= _DOUBTFUL_NAMES else IN_BOILERPLATE_NAME, False
         if names & _MAIN_NAMES and tag not in ("html", "body", "p") and not main:
             return IN_MAIN_NAME, True
     return sign, main

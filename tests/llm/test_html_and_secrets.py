@@ -31,6 +31,20 @@ def test_main_text():
     assert len(main_text("<article>" + "<p>Some words, here.</p>" * 5000)) == 5000 * 18 - 1
 
 
+def test_names_inside_an_article():
+    """A name that may also be an article's own removes short and linked text, but not prose; the others remove all."""
+    prose = "This sentence is one of several, and it is long enough to be read as prose; " * 3
+    for name in ("side-by-side", "tags-guide", "legal-history", "search-results", "menu-reform"):
+        page = f'<main><p>Before, in short.</p><div class="{name}"><p>{prose}</p></div><p>After, in short.</p></main>'
+        assert main_text(page) == f"Before, in short. {prose}After, in short."
+    for name in ("share", "related-links", "tags", "alert", "menu"):
+        page = f'<main><p>{prose}</p><div class="{name}"><a href="/x">Read this</a> <a href="/y">and that</a></div></main>'
+        assert main_text(page) == prose.strip()
+    for name in ("comments", "sidebar", "cookie-consent", "advert", "newsletter-signup"):
+        assert main_text(f'<main><p>{prose}</p><div class="{name}"><p>{prose}</p></div></main>') == prose.strip()
+        assert main_text(f'<main><p>{prose}</p></main><div class="related"><p>{prose}</p></div>') == prose.strip()
+
+
 def test_minimum_cut_is_the_cheapest_labelling():
     rnd = random.Random(2)
     for _ in range(60):
