@@ -13,10 +13,10 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import rows_of, spans_text, whole
+from jobscope.llm.common import rows_of, spans_text, store, whole
 
 # The base patterns, their kinds in order, and least lengths.
 KINDS = ("assign", "access", "hex")
@@ -314,11 +314,12 @@ def sample_values(texts: DataFrame) -> DataFrame:
 
 def fit_formats(texts: DataFrame) -> Formats:
     """Learns from a bounded sample, the least by CRC-32, of the distinct values in ``texts`` (text)."""
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.crc32(F.col("value").cast("binary")), F.desc("value")))
-    rows = (sample_values(texts).distinct().withColumn("place", place)
-            .filter(F.col("place") <= F.when(F.col("kind") == "", ORDINARY).otherwise(CREDENTIALS))
-            .orderBy("kind", "place").collect())
-    labelled: dict[str, list[str]] = {kind: [r["value"] for r in rows if r["kind"] == kind] for kind in ("", *KINDS)}
+    values = store(sample_values(texts).distinct(), "secret-values")
+    labelled: dict[str, list[str]] = {}
+    for kind, most in [*((k, CREDENTIALS) for k in KINDS), ("", ORDINARY)]:
+        rows = (values.filter(F.col("kind") == kind).orderBy(F.crc32(F.col("value").cast("binary")), F.desc("value"))
+                .limit(most).collect())
+        labelled[kind] = [r["value"] for r in rows]
     ordinary = labelled.pop("")
     return Formats.fit(labelled, ordinary)
 
