@@ -317,9 +317,10 @@ def fit_formats(texts: DataFrame) -> Formats:
     values = store(sample_values(texts).distinct(), "secret-values")
     labelled: dict[str, list[str]] = {}
     for kind, most in [*((k, CREDENTIALS) for k in KINDS), ("", ORDINARY)]:
-        rows = (values.filter(F.col("kind") == kind).orderBy(F.crc32(F.col("value").cast("binary")), F.desc("value"))
-                .limit(most).collect())
-        labelled[kind] = [r["value"] for r in rows]
+        # written, since a collected limit would send so many values of every partition to the driver
+        least = store(values.filter(F.col("kind") == kind).withColumn("h", F.crc32(F.col("value").cast("binary")))
+                      .orderBy("h", F.desc("value")).limit(most), "secret-sample")
+        labelled[kind] = [r["value"] for r in least.orderBy("h", F.desc("value")).collect()]
     ordinary = labelled.pop("")
     return Formats.fit(labelled, ordinary)
 
