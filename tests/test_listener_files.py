@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobscope import queries
 from jobscope.ordering import count_places
+from jobscope.sources import events as ev
 from jobscope.sources import listener_lines as ll
 
 N = 6000
@@ -61,3 +62,14 @@ def test_places_against_distinct_values(spark):
     rows = [(g, p) for g in ("a", None) for p in places] + [("b", None), ("c", 63)]
     got = count_places(spark.createDataFrame(rows, "g string, seq long").repartition(3), ["g"])
     assert {r.g: (r.lines, r.places) for r in got.collect()} == {"a": (12, 9), None: (12, 9), "b": (1, 0), "c": (1, 1)}
+
+
+def test_stage_accumulables_takes_little_disk(spark, items, monkeypatch):
+    paths = kept(monkeypatch, ll)
+    rows = ev.stage_accumulables(ll.read_back(spark, items, "accumulables")).collect()
+    assert sum(f.stat().st_size for f in files_of(paths[0])) < plain_bytes(spark, items, "accumulables") / 4
+    # of five entries, one is not of SQL, one has no value and one no id
+    want = sorted((i // 7, p, a, v) for i in range(N) for p, a, v in (
+        (0, i % 11 * 35, str(i % 5)), (2, i % 5, str(i % 11 * 35))))
+    assert sorted((r.stage_id, r.pos, r.accumulator_id, r.value) for r in rows) == want
+    assert {(r.log_id, r.stage_attempt_id) for r in rows} == {(f"a{k}", 0) for k in range(4)}
