@@ -9,6 +9,7 @@ from jobscope import queries
 from jobscope.ordering import count_places
 from jobscope.sources import events as ev
 from jobscope.sources import listener_lines as ll
+from jobscope.sources import tables as tb
 
 N = 6000
 
@@ -73,3 +74,17 @@ def test_stage_accumulables_takes_little_disk(spark, items, monkeypatch):
         (0, i % 11 * 35, str(i % 5)), (2, i % 5, str(i % 11 * 35))))
     assert sorted((r.stage_id, r.pos, r.accumulator_id, r.value) for r in rows) == want
     assert {(r.log_id, r.stage_attempt_id) for r in rows} == {(f"a{k}", 0) for k in range(4)}
+
+
+def test_stream_event_lines_takes_little_disk(spark, items, monkeypatch):
+    """Lines and ingested events take a fraction of the text, and every attempt comes back as it was."""
+    paths = kept(monkeypatch, queries)
+    spark.read.parquet(f"{items}/lineitem.parquet").withColumns({
+        "l_extendedprice": F.col("l_extendedprice") + F.col("l_orderkey"), "l_partkey": F.col("l_partkey") + F.col("l_orderkey"),
+        "l_returnflag": F.expr("if(l_orderkey % 3 = 0, 'R', 'A')")}).write.parquet(f"{items}/more/lineitem.parquet")
+    attempts = tb.attempts(spark, f"{items}/more")
+    got = queries.QUERIES["stream_event_lines"](spark, f"{items}/more")
+    assert sorted(map(str, got.collect())) == sorted(map(str, attempts.select(*got.columns).collect()))
+    plain = tb.task_lines(attempts).agg(F.sum(F.octet_length("value") + 1)).first()[0]
+    source, target = (sum(f.stat().st_size for f in files_of(p)) for p in paths)
+    assert source < plain / 4 and target < plain / 4
